@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, lines
+from . import decontam, lines, secrets, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (lines, decontam):
+for _m in (lines, decontam, secrets, simhash):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
