@@ -166,6 +166,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     return g.withColumn("n_hit", F.expr(reach))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """The rows of docs without a hit; rows of equal doc_id are told apart by their text."""
+    d = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
+    sum_of = F.md5(F.coalesce("text", F.lit("")))
+    hit = decontaminate(d.select(sum_of.alias("doc_id"), "text"), items, window, k)
+    gone = hit.where("n_hit > 0").select(F.col("doc_id").alias("gone")).distinct()
+    return d.join(gone, sum_of == F.col("gone"), "left_anti")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.expr("array_join(array_sort(transform(items, x -> string(x))), ',')")
