@@ -1,21 +1,23 @@
 """SimHash near-dedup by a self-join of binary tries.
 
 Fingerprints are made per text in Arrow batches and then deduplicated, so a
-group of copies is one key from there on.  Two fingerprints within ``bits``
-differing bits have at most bits // 2 of them in the high half, or at most
-(bits + 1) // 2 - 1 in the low half.  Hence two tries are joined with
-themselves, one on the key as it is and one on the key with its halves
-swapped; each traversal walks pairs of nodes together, adds up differing bits
-and drops a pair of nodes at once when the half's or the whole budget is
-exceeded.
-
-The top levels of the tries are laid out as blocks of at most BLOCK keys
-(prefixes; a crowded prefix is split into chunks by hash), and each pair of
-blocks whose prefixes are within the budget is one task.  A task yields a
-spanning forest of the links it finds, not the links, and stops descending
-where both nodes already lie in one component, so a dense group of thousands
-of near copies costs neither its square in rows nor in time.  Components are
-then found over those forests by rounds of star contraction.
+group of copies is one key from there on.  Of ``bits`` + 1 parts of the 64
+bits, two fingerprints that differ in at most ``bits`` bits agree in at least
+one whole part.  Hence ``bits`` + 1 tries are joined with themselves, each on
+the key rotated so that another part comes first: the traversal walks pairs
+of nodes together, adds up differing bits and drops a pair of nodes at once
+when the budget is exceeded, which is zero within the first part and ``bits``
+after it.
+
+The tries' subtrees below the first part are dealt to tasks of about BLOCK
+keys; every key goes to one task for each trie, so what is shuffled is in
+proportion to the number of distinct fingerprints.  A crowded subtree is
+split into chunks of at most BLOCK keys, and each pair of chunks is a task.
+A task yields a spanning forest of the links it finds, not the links, and
+stops descending where both nodes already lie in one component, so a dense
+group of thousands of near copies costs neither its square in rows nor in
+time.  Components are then found over those forests by rounds of star
+contraction.
 
 Defined results: a null or wordless text has fingerprint zero and links like
 any other; equal rows share a component; a null doc_id is carried but never
@@ -25,8 +27,6 @@ table gives an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -103,11 +103,11 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return ends[np.searchsorted(ends, np.arange(n), side="right")]
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, half: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(a: np.ndarray, b: np.ndarray | None, free: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as (key, key), of the links between keys of a and b (None: within a).
 
-    Keys are uint64.  Linked keys differ in at most half of the upper 32 bits
-    and bits of all.
+    Keys are uint64.  Linked keys agree in the first ``free`` bits and differ
+    in at most ``bits`` of all.
     """
     alone = b is None
     a = np.unique(a)
@@ -119,7 +119,12 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, half: int, bits: int) -> tup
     lab = np.arange(len(keys))
     run_a = run_b = None
     one = np.uint64(1)
-    stack = [(0, np.array([[0], [len(a)], [0], [len(b)], [0]], dtype=np.int64))]
+    # Pairs of subtrees below equal first parts; above them a node meets itself only.
+    down = np.uint64(64 - free)
+    ha, hb = (a >> down, b >> down) if free else (np.zeros(len(a), np.uint64), np.zeros(len(b), np.uint64))
+    top = np.intersect1d(ha, hb)
+    ends = [np.searchsorted(h, top, side=s) for h in (ha, hb) for s in ("left", "right")]
+    stack = [(free, np.array([*ends, np.zeros(len(top), np.int64)]).astype(np.int64))]
     while stack:
         depth, f = stack.pop()
         if run_a is not None:
@@ -144,7 +149,7 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, half: int, bits: int) -> tup
             w = np.repeat(w, c)
             x, y = np.repeat(la, c) + off // w, np.repeat(lb, c) + off % w
             d = a[x] ^ b[y]
-            ok = (np.bitwise_count(d) <= bits) & (np.bitwise_count(d >> np.uint64(32)) <= half)
+            ok = np.bitwise_count(d) <= bits
             if alone:
                 ok &= x < y
             if ok.any():
@@ -160,9 +165,8 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, half: int, bits: int) -> tup
         high = ~(bit | (bit - one)) if depth else np.uint64(0)
         am = np.clip(np.searchsorted(a, (a[al] & high) | bit), al, ah)
         bm = np.clip(np.searchsorted(b, (b[bl] & high) | bit), bl, bh)
-        room = half if depth < 32 else bits
         kids = [np.stack([al, am, bl, bm, diff]), np.stack([am, ah, bm, bh, diff])]
-        m = diff < room
+        m = diff < bits
         kids.append(np.stack([al, am, bm, bh, diff + 1])[:, m])
         if alone:
             m = m & (al != bl)
@@ -173,65 +177,48 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, half: int, bits: int) -> tup
     return keys[tied], keys[lab[tied]]
 
 
-def _swap(x: np.ndarray) -> np.ndarray:
-    return (x << np.uint64(32)) | (x >> np.uint64(32))
+def parts_of(bits: int) -> list[tuple[int, int]]:
+    """(first bit from the top, length) of bits + 1 parts of 64 bits."""
+    n = bits + 1
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n)]
 
 
-def _masks(depth: int, most: int) -> list[int]:
-    out, level = [0], {0}
-    for _ in range(min(most, depth)):
-        level = {m | 1 << i for m in level for i in range(depth) if not m >> i & 1}
-        out += sorted(level)
-    return out
+def turn(x: np.ndarray, by: int) -> np.ndarray:
+    """Rotate to the left."""
+    by %= 64
+    return x if not by else (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
 def link_fingerprints(fps: DataFrame, n: int, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """(a, b): a forest that spans the links between the n distinct longs fp."""
-    depth = max(0, min(20, math.ceil(math.log2(max(1, n) / block)))) if n else 0
-    half = {0: bits // 2, 1: (bits + 1) // 2 - 1}
-    key = F.explode(
-        F.array(
-            F.struct(F.lit(0).alias("o"), F.col("fp").alias("key")),
-            F.struct(F.lit(1).alias("o"), F.expr("shiftleft(fp, 32) | shiftrightunsigned(fp, 32)").alias("key")),
-        )
-    )
-    keys = fps.select(key.alias("k")).select("k.o", "k.key")
-    if half[1] < 0:
-        keys = keys.where("o = 0")
-    prefix = F.expr(f"shiftrightunsigned(key, {64 - depth})") if depth else F.lit(0).cast("long")
-    keys = keys.withColumn("p", prefix)
-    cells = cut(keys.groupBy("o", "p").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks")))
-    chunks = cells.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pairs = None
-    for o, most in half.items():
-        if most < 0:
-            continue
-        own = chunks.where(F.col("o") == o)
-        mask = F.explode(F.array(*[F.lit(m).cast("long") for m in _masks(depth, most)]))
-        left = own.select("o", "p", "c", mask.alias("x")).withColumn("q", F.expr("p ^ x"))
-        right = own.select(F.col("p").alias("q"), F.col("c").alias("e"))
-        got = left.join(right, "q").where("p < q or (p = q and c <= e)").select("o", "p", "c", "q", "e")
-        pairs = got if pairs is None else pairs.union(got)
-    pairs = cut(pairs.withColumn("pair", F.monotonically_increasing_id()))
-    ends = pairs.select("pair", "o", "p", "c", F.lit(0).alias("side")).union(
-        pairs.where("p <> q or c <> e").select("pair", "o", F.col("q").alias("p"), F.col("e").alias("c"), F.lit(1).alias("side"))
-    )
-    placed = keys.join(F.broadcast(cells) if depth <= 12 else cells, ["o", "p"]).withColumn(
-        "c", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
+    ways = parts_of(bits)
+    tasks = max(1, -(-n // block))
+    one = lambda o, at, size: F.struct(
+        F.lit(o).alias("o"),
+        F.expr(f"shiftleft(fp, {at}) | shiftrightunsigned(fp, {64 - at})" if at else "fp").alias("key"),
+        F.expr(f"shiftrightunsigned(shiftleft(fp, {at}), {64 - size})").alias("cell"),
     )
-    tasks = placed.join(F.broadcast(ends) if depth <= 8 else ends, ["o", "p", "c"]).select("pair", "side", "o", "key")
+    keys = fps.select(F.explode(F.array(*[one(o, at, size) for o, (at, size) in enumerate(ways)])).alias("k")).select("k.*")
+    # At most a few times 2^13 subtrees, whatever n is.
+    crowded = cut(keys.groupBy("o", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks")).where("chunks > 1"))
+    placed = keys.join(F.broadcast(crowded), ["o", "cell"], "left")
+    slot = F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int")
+    alone = F.array(F.struct(F.lit(-1).cast("long").alias("cell"), slot.alias("lo"), slot.alias("hi"), F.lit(0).alias("side")))
+    own = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
+    placed = placed.withColumn("own", own)
+    shared = F.expr("transform(sequence(0, chunks - 1), e -> struct(cell as cell, least(own, e) as lo, greatest(own, e) as hi, if(own > e, 1, 0) as side))")
+    placed = placed.select("o", "key", F.explode(F.when(F.col("chunks").isNull(), alone).otherwise(shared)).alias("t")).select("o", "key", "t.*")
 
     def join(t: pa.Table) -> pa.Table:
-        o = t.column("o")[0].as_py()
+        at, size = ways[t.column("o")[0].as_py()]
         k = t.column("key").to_numpy().view(np.uint64)
         side = t.column("side").to_numpy()
         x, y = k[side == 0], k[side == 1]
-        got = trie_links(x, y if len(y) else None, half[o], bits)
-        if o:
-            got = tuple(map(_swap, got))
+        got = [turn(g, 64 - at) for g in trie_links(x, y if len(y) else None, size, bits)]
         return pa.table({"a": pa.array(got[0].view(np.int64)), "b": pa.array(got[1].view(np.int64))})
 
-    return tasks.groupBy("pair").applyInArrow(join, "a long, b long")
+    return placed.groupBy("o", "cell", "lo", "hi").applyInArrow(join, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, block: int = BLOCK) -> DataFrame:

@@ -114,10 +114,17 @@ def test_trie_against_all_pairs(seed):
         return sorted(map(sorted, out.values()))
 
     want = classes([(a, b) for a in k for b in k if a < b and int(a ^ b).bit_count() <= 4])
-    got = list(zip(*simhash.trie_links(k, None, 2, 4)))
-    got += [(int(simhash._swap(np.array([a]))[0]), int(simhash._swap(np.array([b]))[0])) for a, b in zip(*simhash.trie_links(simhash._swap(k), None, 1, 4))]
-    assert classes(got) == want
+
+    def every_way(x, y=None):
+        out = []
+        for at, size in simhash.parts_of(4):
+            got = simhash.trie_links(simhash.turn(x, at), None if y is None else simhash.turn(y, at), size, 4)
+            out += zip(*(simhash.turn(g, 64 - at) for g in got))
+        return out
+
+    assert classes(every_way(k)) == want
     # Two halves against each other and each with itself.
     x, y = k[::2], k[1::2]
-    got = [*zip(*simhash.trie_links(x, y, 4, 4)), *zip(*simhash.trie_links(x, None, 4, 4)), *zip(*simhash.trie_links(y, None, 4, 4))]
-    assert classes(got) == want
+    assert classes(every_way(x, y) + every_way(x) + every_way(y)) == want
+    # No part has to agree.
+    assert classes(zip(*simhash.trie_links(k, None, 0, 4))) == want
