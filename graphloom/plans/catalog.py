@@ -1,4 +1,351 @@
 """The registered queries, with the SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import naming
+from ..operators import alignment, grouped, mst, traverse
+from ..operators import matrix as mx
+from ..operators.grid import Grid
+from ..sources import generators as gen
+from ..sources import tables as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a function under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+#: SQL of the derived graphs.
+_TRADE = """trade AS (
+  SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS src, lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS dst,
+         CAST(CAST(sum(l_quantity) AS BIGINT) AS DOUBLE) AS weight
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  GROUP BY 1, 2)"""
+_ARCS = _TRADE + ", arcs AS (SELECT * FROM trade WHERE src <> dst), ids AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS id FROM nation)"
+_BOTH = _TRADE + """, und AS (
+  SELECT least(src, dst) AS src, greatest(src, dst) AS dst, sum(weight) AS weight FROM trade WHERE src <> dst GROUP BY 1, 2)"""
+_SUPPLY = "sp AS (SELECT DISTINCT 'S' || l_suppkey AS s, 'P' || l_partkey AS p FROM lineitem)"
+_SESSION = """nx AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+sess AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM nx WHERE dst IS NOT NULL GROUP BY 1, 2)"""
+_M = "m AS (SELECT vec_id AS i, u.j - 1 AS j, CAST(embedding[u.j] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS j) u)"
+
+
+# -- traversal ----------------------------------------------------------------
+@query(f"""WITH RECURSIVE {_SUPPLY}, ends AS (SELECT s AS a, p AS b FROM sp UNION ALL SELECT p, s FROM sp),
+r(id, h) AS (SELECT 'S1', 0 UNION SELECT ends.b, r.h + 1 FROM r JOIN ends ON r.id = ends.a WHERE r.h < 4)
+SELECT depth, count(*) AS vertices FROM (SELECT id, min(h) AS depth FROM r GROUP BY id) GROUP BY depth""")
+def bfs_supply_depths(spark, sf_dir):
+    """Vertices of the supply graph at each hop from supplier 1, up to four."""
+    d = traverse.hop_depths(t.supply_graph(spark, sf_dir).arcs(), spark.createDataFrame([("S1",)], "id string"), 4)
+    return d.groupBy("depth").agg(F.count(F.lit(1)).alias("vertices"))
+
+
+@query("""WITH RECURSIVE tree AS (
+  SELECT 'R' || n_regionkey AS p, 'N' || n_nationkey AS c FROM nation UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer),
+b AS (SELECT p AS a, c AS b FROM tree UNION ALL SELECT c, p FROM tree),
+r(id, h) AS (SELECT 'R0', 0 UNION SELECT b.b, r.h + 1 FROM r JOIN b ON r.id = b.a WHERE r.h < 3),
+lv AS (SELECT id, min(h) AS depth FROM r GROUP BY id)
+SELECT lv.id, CAST(lv.depth AS INTEGER) AS depth, (SELECT x.id FROM lv x JOIN b ON b.a = x.id WHERE b.b = lv.id AND x.depth = lv.depth - 1) AS parent FROM lv""")
+def bfs_geo_parents(spark, sf_dir):
+    """Depth and parent of everything under region 0."""
+    return traverse.bfs(t.geo_graph(spark, sf_dir), "R0").visited.select("id", "depth", "parent")
+
+
+@query("""WITH ids AS (
+  SELECT n_regionkey AS r, 'C' || c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT n_regionkey, 'N' || n_nationkey FROM nation UNION ALL SELECT DISTINCT n_regionkey, 'R' || n_regionkey FROM nation)
+SELECT min(id) AS component, count(*) AS members FROM ids GROUP BY r""")
+def components_geo(spark, sf_dir):
+    return traverse.components(t.geo_graph(spark, sf_dir)).groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+
+
+@query(f"""WITH RECURSIVE {_ARCS}, r(id, d, h) AS (
+  SELECT '00', 0.0::DOUBLE, 0 UNION SELECT id, min(d), h FROM (SELECT arcs.dst AS id, r.d + arcs.weight AS d, r.h + 1 AS h FROM r JOIN arcs ON r.id = arcs.src WHERE r.h < 24) GROUP BY id, h)
+SELECT ids.id, coalesce(min(r.d), 'infinity'::DOUBLE) AS dist FROM ids LEFT JOIN r ON ids.id = r.id GROUP BY ids.id""")
+def sssp_trade(spark, sf_dir):
+    return traverse.shortest_paths(t.trade_graph(spark, sf_dir), "00").distances
+
+
+@query()
+def sssp_trade_paths(spark, sf_dir):
+    """Distance and parent with a cutoff and a wall."""
+    r = traverse.shortest_paths(t.trade_graph(spark, sf_dir), "00", track=True, max_distance=5000.0, wall=4000.0)
+    return r.distances.join(r.parents, "id")
+
+
+@query(f"""WITH RECURSIVE {_ARCS}, r(s, id, d, h) AS (
+  SELECT id, id, 0.0::DOUBLE, 0 FROM ids
+  UNION SELECT s, id, min(d), h FROM (SELECT r.s, arcs.dst AS id, r.d + arcs.weight AS d, r.h + 1 AS h FROM r JOIN arcs ON r.id = arcs.src WHERE r.h < 24) GROUP BY s, id, h)
+SELECT CAST(CAST(s AS INTEGER) AS INTEGER) AS i, CAST(CAST(id AS INTEGER) AS INTEGER) AS j, min(d) AS v FROM r GROUP BY s, id""")
+def apsp_trade(spark, sf_dir):
+    """All distances of the trade graph; a vertex's number is that of its nation."""
+    a = mx.adjacency(t.trade_graph(spark, sf_dir), mx.MatrixOptions(directed=True))
+    return mx.metric_closure(a).matrix.cells
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS graph_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ord, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id
+FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)""")
+def toposort_chains(spark, sf_dir):
+    """Every customer's chain of orders, sorted; one small graph each."""
+    e = t.order_chains(spark, sf_dir)
+    v = e.select("graph_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return grouped.topological_sort(e, v)
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS level, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT CAST(level AS INTEGER) AS level, count(*) AS vertices FROM o WHERE n > 1 AND level < 3 GROUP BY 1""")
+def toposort_levels(spark, sf_dir):
+    """The first three levels of all chains together, by peeling."""
+    e = t.order_chains(spark, sf_dir).where("true")
+    v = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return grouped.topological_levels(e, v).where("level < 3").groupBy("level").agg(F.count(F.lit(1)).alias("vertices"))
+
+
+@query()
+def dfs_sessions(spark, sf_dir):
+    return grouped.depth_first(*grouped.frames(t.session_graph(spark, sf_dir)))
+
+
+@query()
+def cycles_sessions(spark, sf_dir):
+    g = t.session_graph(spark, sf_dir)
+    return grouped.detect_cycles(*grouped.frames(g), directed=True).select(F.array_join("cycle", ">").alias("cycle"))
+
+
+# -- graphs as tables -------------------------------------------------------------
+@query(f"""WITH {_SUPPLY} SELECT id, 0::BIGINT AS in_degree, 0::BIGINT AS out_degree, count(*) AS undirected
+FROM (SELECT s AS id FROM sp UNION ALL SELECT p FROM sp) GROUP BY id""")
+def degrees_supply(spark, sf_dir):
+    return t.supply_graph(spark, sf_dir).degrees()
+
+
+@query(f"WITH {_ARCS} SELECT src AS id, dst AS neighbor FROM arcs")
+def neighbor_ids_trade(spark, sf_dir):
+    return t.trade_graph(spark, sf_dir).neighbor_ids()
+
+
+@query(f"WITH {_ARCS} SELECT src AS id, src || '-' || dst AS edge_id, src, dst, weight, true AS directed FROM arcs WHERE src = '03'")
+def neighbors_trade(spark, sf_dir):
+    return t.trade_graph(spark, sf_dir).neighbors("03")
+
+
+@query(f"WITH {_ARCS} SELECT ids.id, coalesce(string_agg(src || '-' || dst, ',' ORDER BY src || '-' || dst), '') AS edge_ids FROM ids LEFT JOIN arcs ON ids.id = arcs.src GROUP BY ids.id")
+def adjacency_list_trade(spark, sf_dir):
+    a = t.trade_graph(spark, sf_dir).adjacency_list()
+    return a.select("id", F.array_join("edge_ids", ",").alias("edge_ids"))
+
+
+@query(f"""WITH {_ARCS} SELECT (SELECT count(*) FROM ids) AS vertices, count(*) AS edges, count(*) AS directed_edges, 0::BIGINT AS undirected_edges,
+true AS directed, true AS weighted, false AS multi, false AS loops, false AS mixed FROM arcs""")
+def stats_trade(spark, sf_dir):
+    return t.trade_graph(spark, sf_dir).stats()
+
+
+@query(f"WITH {_ARCS} SELECT src || '-' || dst AS edge_id, src, dst, weight, true AS directed FROM arcs WHERE weight > 1000")
+def filter_edges_trade(spark, sf_dir):
+    return t.trade_graph(spark, sf_dir).filter_edges(F.col("weight") > 1000)
+
+
+@query(f"""WITH {_ARCS}, k AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS id FROM nation WHERE n_regionkey IN (1, 2))
+SELECT src || '-' || dst AS edge_id, src, dst, 0.0::DOUBLE AS weight, true AS directed FROM arcs WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)""")
+def induced_unweighted_trade(spark, sf_dir):
+    """Trade among two regions, weights left out."""
+    k = t.table(spark, sf_dir, "nation").where("n_regionkey in (1, 2)").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("id"))
+    return t.trade_graph(spark, sf_dir).induced(k).unweighted_view().edges
+
+
+@query(f"WITH {_ARCS} SELECT src || '-' || dst AS edge_id, src, dst, weight, true AS directed FROM arcs WHERE src <> '07' AND dst <> '07'")
+def remove_vertex_trade(spark, sf_dir):
+    return t.trade_graph(spark, sf_dir).remove_vertex("07").edges
+
+
+@query(f"WITH {_ARCS} SELECT src, dst, weight AS capacity FROM arcs")
+def capacities_trade(spark, sf_dir):
+    return grouped.capacity_matrix(t.trade_graph(spark, sf_dir))
+
+
+# -- matrices -----------------------------------------------------------------------
+@query(f"WITH {_ARCS} SELECT CAST(src AS INTEGER) AS i, CAST(dst AS INTEGER) AS j, weight AS v FROM arcs")
+def adjacency_trade(spark, sf_dir):
+    return mx.adjacency(t.trade_graph(spark, sf_dir), mx.MatrixOptions(directed=True)).matrix.cells
+
+
+@query(f"WITH {_ARCS} SELECT ids.id, coalesce(sum(weight), 0.0) AS degree FROM ids LEFT JOIN arcs ON src = ids.id GROUP BY ids.id")
+def degree_vector_trade(spark, sf_dir):
+    return mx.adjacency(t.trade_graph(spark, sf_dir), mx.MatrixOptions(directed=True)).degree_vector()
+
+
+@query(f"""WITH {_SESSION}, vx AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM (SELECT src AS id FROM sess UNION SELECT dst FROM sess)),
+cx AS (SELECT src, dst, row_number() OVER (ORDER BY src || '>' || dst) - 1 AS j FROM sess WHERE src <> dst),
+e AS (SELECT src AS id, j, -1.0::DOUBLE AS v FROM cx UNION ALL SELECT dst, j, 1.0 FROM cx)
+SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(v) AS v FROM e JOIN vx ON e.id = vx.id GROUP BY 1, 2""")
+def incidence_sessions(spark, sf_dir):
+    return mx.incidence(t.session_graph(spark, sf_dir), mx.MatrixOptions(directed=True))[0].cells
+
+
+def _features(spark, sf_dir, cols: int = 64) -> mx.Matrix:
+    n = t.table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    return mx.Matrix(t.feature_cells(spark, sf_dir, cols), int(n or -1) + 1, cols)
+
+
+@query(f"WITH {_M} SELECT CAST(i AS INTEGER) AS i, round(sum(v), 6) AS total FROM m GROUP BY i")
+def row_sums_features(spark, sf_dir):
+    return _features(spark, sf_dir).row_sums().select("i", F.round("total", 6).alias("total"))
+
+
+@query(f"WITH {_M} SELECT CAST(j AS INTEGER) AS j, round(sum(v), 6) AS total FROM m GROUP BY j")
+def col_sums_features(spark, sf_dir):
+    return _features(spark, sf_dir).col_sums().select("j", F.round("total", 6).alias("total"))
+
+
+@query(f"WITH {_M} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v - avg(v) OVER (PARTITION BY j), 6) AS v FROM m")
+def center_columns_features(spark, sf_dir):
+    return _features(spark, sf_dir).center_columns()[0].cells.select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {_M} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v / sqrt(sum(v * v) OVER (PARTITION BY i)), 6) AS v FROM m")
+def normalize_l2_features(spark, sf_dir):
+    return _features(spark, sf_dir).normalize_rows_l2()[0].cells.select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {_M} SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(covar_samp(a.v, b.v), 9) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j")
+def covariance_features(spark, sf_dir):
+    return _features(spark, sf_dir).covariance()[0].cells.select("i", "j", F.round("v", 9).alias("v"))
+
+
+@query(f"WITH {_M} SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(corr(a.v, b.v), 6) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j")
+def correlation_features(spark, sf_dir):
+    return _features(spark, sf_dir).correlation()[0].cells.select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {_M} SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j")
+def gram_features(spark, sf_dir):
+    m = _features(spark, sf_dir)
+    return m.transpose().mul(m).cells.select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {_M} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, least(greatest(v, -0.1), 0.1) AS v FROM m WHERE j < 4")
+def clip_features(spark, sf_dir):
+    return _features(spark, sf_dir, 4).clip(0.1, -0.1).cells
+
+
+@query(f"WITH {_TRADE}, x AS (SELECT CAST(src AS INTEGER) AS i, CAST(dst AS INTEGER) AS j, weight AS v FROM trade) SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, (coalesce(a.v, 0) + coalesce(b.v, 0)) / 2 AS v FROM x a FULL JOIN x b ON a.i = b.j AND a.j = b.i")
+def symmetrize_trade(spark, sf_dir):
+    c = t.trade_arcs(spark, sf_dir).select(F.col("src").cast("int").alias("i"), F.col("dst").cast("int").alias("j"), F.col("weight").alias("v"))
+    return mx.Matrix(c, 25, 25).symmetrize().cells
+
+
+# -- optimisation -----------------------------------------------------------------------
+@query(f"""WITH RECURSIVE {_BOTH}, e AS (SELECT src || '-' || dst AS edge_id, src, dst, weight FROM und),
+r(edge_id, pos, weight) AS (
+  SELECT edge_id, src, weight FROM e
+  UNION SELECT r.edge_id, CASE WHEN x.src = r.pos THEN x.dst ELSE x.src END, r.weight FROM r JOIN e x ON (x.src = r.pos OR x.dst = r.pos) AND (x.weight < r.weight OR (x.weight = r.weight AND x.edge_id < r.edge_id)))
+SELECT e.edge_id, e.src, e.dst, e.weight FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.edge_id = e.edge_id AND r.pos = e.dst)""")
+def mst_trade(spark, sf_dir):
+    """The spanning forest: edges whose ends no lighter edges connect."""
+    return mst.minimum_spanning_tree(t.trade_graph(spark, sf_dir, directed=False), forest=True).edges
+
+
+@query()
+def max_flow_trade(spark, sf_dir):
+    r = grouped.max_flow(*grouped.frames(t.trade_graph(spark, sf_dir)), source="00", sink="05")
+    return r.select("graph_id", "value", F.array_join("source_side", ",").alias("source_side"))
+
+
+@query()
+def tours_by_region(spark, sf_dir):
+    """Exact tours over each region's nations, by trade both ways; missing trade costs the closure's distance."""
+    n = t.table(spark, sf_dir, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("id"), F.col("n_regionkey").cast("string").alias("r"))
+    a = mx.metric_closure(mx.adjacency(t.trade_graph(spark, sf_dir, directed=False)))
+    ix = a.index.join(n, "id")
+    d = a.matrix.cells.join(ix.select(F.col("idx").alias("i"), F.col("id").alias("x"), "r"), "i").join(ix.select(F.col("idx").alias("j"), F.col("id").alias("y"), F.col("r").alias("s")), "j").where("r = s")
+    rows = d.groupBy("r", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "v"))), lambda s: s["v"]).alias("row"))
+    inst = rows.groupBy(F.col("r").alias("instance_id")).agg(F.array_sort(F.collect_list(F.struct("x", "row"))).alias("m"))
+    inst = inst.select("instance_id", F.transform("m", lambda s: s["x"]).alias("ids"), F.transform("m", lambda s: s["row"]).alias("dist"))
+    return grouped.solve_tours(inst, algorithm="held_karp").select("instance_id", F.array_join("ids", ">").alias("tour"), "cost", "optimal")
+
+
+@query()
+def dtw_users(spark, sf_dir):
+    """Every user's series against the next user's, all in the JVM."""
+    s = t.series(spark, sf_dir)
+    w = Window.orderBy("user_id")  # one narrow row per user
+    p = s.select("user_id").withColumn("other", F.lead("user_id").over(w)).where("other is not null")
+    j = p.join(s, "user_id").join(s.select(F.col("user_id").alias("other"), F.col("a").alias("b")), "other")
+    return j.select("user_id", "other", alignment.distance("a", "b", window=40, penalty=1.0).alias("distance"))
+
+
+# -- lattices ------------------------------------------------------------------------------
+_CELLS = """c AS (SELECT x, y, CAST(coalesce(n, 0) AS INTEGER) AS value FROM (SELECT i % 50 AS x, i // 50 AS y FROM (SELECT unnest(generate_series(0, 999)) AS i))
+LEFT JOIN (SELECT p_size - 1 AS px, CAST(floor(p_retailprice) AS BIGINT) % 20 AS py, count(*) AS n FROM part GROUP BY 1, 2) ON x = px AND y = py)"""
+
+
+@query(f"""WITH RECURSIVE {_CELLS}, land AS (SELECT *, y * 50 + x AS k FROM c WHERE value >= 1),
+e AS (SELECT a.k AS a, b.k AS b FROM land a JOIN land b ON a.value = b.value AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+r(root, k) AS (SELECT k, k FROM land UNION SELECT r.root, e.b FROM r JOIN e ON r.k = e.a WHERE e.b > -1),
+l AS (SELECT k, min(root) AS component FROM r GROUP BY k)
+SELECT land.value, CAST(l.component AS BIGINT) AS component, count(*) AS cells FROM land JOIN l ON land.k = l.k GROUP BY 1, 2""")
+def islands_parts(spark, sf_dir):
+    g = Grid(t.part_lattice(spark, sf_dir), 50, 20)
+    return g.connected_components().select("value", "component", F.size("cells").cast("long").alias("cells"))
+
+
+@query(f"""WITH {_CELLS} SELECT a.x || ',' || a.y AS src, b.x || ',' || b.y AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""")
+def lattice_edges(spark, sf_dir):
+    return Grid(t.part_lattice(spark, sf_dir), 50, 20).to_graph().edges.select("src", "dst")
+
+
+# -- generators -------------------------------------------------------------------------------
+@query("SELECT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst FROM (SELECT unnest(generate_series(0, 59)) AS a), (SELECT unnest(generate_series(0, 59)) AS b) WHERE a < b")
+def generate_complete(spark, sf_dir):
+    return gen.build(spark, gen.complete(60)).edges.select("src", "dst")
+
+
+@query("""WITH c AS (SELECT i // 30 AS r, i % 30 AS k FROM (SELECT unnest(generate_series(0, 599)) AS i))
+SELECT r || ',' || k AS src, r || ',' || (k + 1) AS dst FROM c WHERE k < 29 UNION ALL SELECT r || ',' || k, (r + 1) || ',' || k FROM c WHERE r < 19""")
+def generate_grid(spark, sf_dir):
+    return gen.build(spark, gen.grid(20, 30)).edges.select("src", "dst")
+
+
+@query("SELECT 'L' || a AS src, 'R' || b AS dst FROM (SELECT unnest(generate_series(0, 19)) AS a), (SELECT unnest(generate_series(0, 29)) AS b)")
+def generate_bipartite(spark, sf_dir):
+    return gen.build(spark, gen.complete_bipartite(20, 30)).edges.select("src", "dst")
+
+
+@query("""SELECT CAST(i AS VARCHAR) AS src, CAST((i + 1) % 40 AS VARCHAR) AS dst FROM (SELECT unnest(generate_series(0, 39)) AS i)
+UNION ALL SELECT 'Center', CAST(i AS VARCHAR) FROM (SELECT unnest(generate_series(0, 39)) AS i)""")
+def generate_wheel(spark, sf_dir):
+    return gen.build(spark, gen.wheel(40)).edges.select("src", "dst")
+
+
+@query("SELECT i, CASE WHEN (i * 0.125) % 1 < 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM (SELECT unnest(generate_series(0, 999)) AS i)")
+def signal_pulse(spark, sf_dir):
+    return gen.pulse(spark, 1000)
+
+
+@query("""SELECT i, round(sin(2 * pi() * sum(0.02::DOUBLE + (0.25::DOUBLE - 0.02::DOUBLE) / 499 * i) OVER (ORDER BY i)), 6) AS value FROM (SELECT unnest(generate_series(0, 499)) AS i)""")
+def signal_chirp(spark, sf_dir):
+    return gen.audio_chirp(spark, 500).select("i", F.round("value", 6).alias("value"))
+
+
+@query("""WITH RECURSIVE r(i, n, s) AS (SELECT i, i + 1, '' FROM (SELECT unnest(generate_series(0, 1999)) AS i)
+UNION ALL SELECT i, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INTEGER)) || s FROM r WHERE n > 0)
+SELECT i, lower(to_hex(i)) AS hex, s AS excel, 'v' || i AS prefixed FROM r WHERE n = 0""")
+def id_schemes(spark, sf_dir):
+    i = F.col("id")
+    return spark.range(2000).select(i.alias("i"), naming.hex_ids(i).alias("hex"), naming.excel_ids(i).alias("excel"), naming.prefixed_ids("v")(i).alias("prefixed"))
