@@ -338,9 +338,9 @@ def signal_pulse(spark, sf_dir):
     return gen.pulse(spark, 1000)
 
 
-@query("""SELECT i, round(sin(2 * pi() * sum(0.02::DOUBLE + (0.25::DOUBLE - 0.02::DOUBLE) / 499 * i) OVER (ORDER BY i)), 6) AS value FROM (SELECT unnest(generate_series(0, 499)) AS i)""")
+@query("""SELECT i, round(sin(2 * pi() * sum(0.02::DOUBLE + (0.25::DOUBLE - 0.02::DOUBLE) / 499 * i) OVER (ORDER BY i)), 6) + 0.0::DOUBLE AS value FROM (SELECT unnest(generate_series(0, 499)) AS i)""")
 def signal_chirp(spark, sf_dir):
-    return gen.audio_chirp(spark, 500).select("i", F.round("value", 6).alias("value"))
+    return gen.audio_chirp(spark, 500).select("i", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("""WITH RECURSIVE r(i, n, s) AS (SELECT i, i + 1, '' FROM (SELECT unnest(generate_series(0, 1999)) AS i)

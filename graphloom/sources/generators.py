@@ -285,6 +285,13 @@ GLYPHS = {
 }
 
 
+def _dots(a: int, b: int) -> list[int]:
+    """The lattice's nodes on a straight line from a to b."""
+    (r, c), (s, d) = divmod(a, 3), divmod(b, 3)
+    n = math.gcd(s - r, d - c)
+    return [(r + (s - r) * i // n) * 3 + c + (d - c) * i // n for i in range(n + 1)] if n else [a]
+
+
 def letters(text: str, scope: str = "") -> Shape:
     """The text's characters as skeletons; vertex IDs are scope::position::node.  Blanks only take a position."""
     for c in text:
@@ -296,7 +303,8 @@ def letters(text: str, scope: str = "") -> Shape:
         pairs, nodes = [], set()
         for p, c in enumerate(text):
             for stroke in GLYPHS[c.upper()].split() if c != " " else ():
-                ks = stroke.split("-")
+                ends = [int(k) for k in stroke.split("-")]
+                ks = [ends[0]] + [k for a, b in itertools.pairwise(ends) for k in _dots(a, b)[1:]]
                 nodes |= {name(p, k) for k in ks}
                 pairs += [(name(p, a), name(p, b)) for a, b in itertools.pairwise(ks)]
         w = o.weight(o.seed) if o.weighted else F.lit(0.0)
