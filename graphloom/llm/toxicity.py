@@ -127,11 +127,14 @@ class Scorer:
 
     def features(self, text: bytes | None) -> list[float]:
         w = windows(text or b"")
-        # The middle of the pairs' differences: where one of them happens on a match, the others do not.
-        d = np.median([[len(b(x)) - len(a(x)) for x in w] or [0] for a, b in self.pairs], axis=0)
+        # The middle of the pairs' differences, and the least: where one pair happens on a match, the others do not.
+        all_d = np.array([[len(b(x)) - len(a(x)) for x in w] or [0] for a, b in self.pairs])
+        d, low = np.median(all_d, axis=0), all_d.min(axis=0)
         up = np.clip(d, 0, None)
-        clear, strong, some = (float((d >= n).sum()) for n in (4, 3, 2))
-        return [min(float(d.max()), 8.0), math.log1p(float(up.sum())), math.log1p(clear), math.log1p(strong), math.log1p(some), strong / len(d), some / len(d), float(up.sum()) / len(d), min(1.0, strong), min(1.0, some), math.log1p(len(w))]
+        n = len(d)
+        counts = [float((d >= k).sum()) for k in (2, 3, 4, 5)] + [float((low >= k).sum()) for k in (1, 2, 3, 4)]
+        return [min(float(d.max()), 8.0), min(float(low.max()), 8.0), math.log1p(float(up.sum())), float(up.sum()) / n, float(np.clip(low, 0, None).sum()) / n,
+                *map(math.log1p, counts), *(min(1.0, c) for c in counts), *(c / n for c in counts), math.log1p(n)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
