@@ -349,3 +349,119 @@ SELECT i, lower(to_hex(i)) AS hex, s AS excel, 'v' || i AS prefixed FROM r WHERE
 def id_schemes(spark, sf_dir):
     i = F.col("id")
     return spark.range(2000).select(i.alias("i"), naming.hex_ids(i).alias("hex"), naming.excel_ids(i).alias("excel"), naming.prefixed_ids("v")(i).alias("prefixed"))
+
+
+# -- factorisations: what they must give back ------------------------------------------------------
+_GRAM = f"WITH {_M} SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.v * b.v), 6) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j"
+
+
+def _gram(spark, sf_dir) -> mx.Matrix:
+    m = _features(spark, sf_dir)
+    return m.transpose().mul(m)
+
+
+def _cells(spark, a, digits: int = 6) -> DataFrame:
+    """A small array as cells; -0.0 becomes 0.0."""
+    rows = [(i, j, float(v) + 0.0) for i, r in enumerate(a) for j, v in enumerate(r)]
+    return spark.createDataFrame(rows, "i int, j int, v double").select("i", "j", (F.round("v", digits) + 0.0).alias("v"))
+
+
+@query(_GRAM)
+def lu_gram(spark, sf_dir):
+    """The product of both factors."""
+    low, up = _gram(spark, sf_dir).lu()
+    return _cells(spark, low @ up)
+
+
+@query(_GRAM)
+def qr_gram(spark, sf_dir):
+    q, r = _gram(spark, sf_dir).qr()
+    return _cells(spark, q.T @ r)
+
+
+@query("SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM (SELECT unnest(generate_series(0, 63)) AS a), (SELECT unnest(generate_series(0, 63)) AS b)")
+def inverse_gram(spark, sf_dir):
+    m = _gram(spark, sf_dir)
+    return _cells(spark, m.toarray() @ m.inverse())
+
+
+@query(f"WITH {_M} SELECT round(sum(v * v), 4) AS trace, CAST(64 AS BIGINT) AS n FROM m")
+def eigen_gram(spark, sf_dir):
+    """The eigenvalues' sum is the trace."""
+    lam, _ = _gram(spark, sf_dir).eigen_sym()
+    return spark.createDataFrame([(float(lam.sum()), len(lam))], "trace double, n long").select(F.round("trace", 4).alias("trace"), "n")
+
+
+# -- further operators -----------------------------------------------------------------------------------
+@query(ORACLES["mst_trade"])
+def prim_trade(spark, sf_dir):
+    return mst.minimum_spanning_tree(t.trade_graph(spark, sf_dir, directed=False), forest=True, algorithm="prim", root="00").edges
+
+
+@query(f"""WITH {_BOTH}, s AS (SELECT lpad(CAST(a AS VARCHAR), 2, '0') AS p, lpad(CAST((a + 1) % 25 AS VARCHAR), 2, '0') AS q FROM (SELECT unnest(generate_series(0, 24)) AS a))
+SELECT 'all' AS instance_id, round(sum(coalesce(weight, 'infinity'::DOUBLE)) * 1e9) / 1e9 AS cost FROM s LEFT JOIN und ON und.src = least(p, q) AND und.dst = greatest(p, q)""")
+def tour_cost_trade(spark, sf_dir):
+    """All nations in the order of their numbers."""
+    e = t.trade_graph(spark, sf_dir, directed=False).arcs()
+    d = e.select(F.lit("all").alias("instance_id"), F.col("src").cast("int").alias("i"), F.col("dst").cast("int").alias("j"), F.col("weight").alias("v"))
+    tour = spark.createDataFrame([("all", [*range(25), 0])], "instance_id string, tour array<int>")
+    return grouped.tour_costs(tour, d)
+
+
+@query()
+def tour_christofides(spark, sf_dir):
+    g = t.trade_graph(spark, sf_dir, directed=False)
+    return grouped.solve_graph_tour(g, algorithm="christofides", closure=True).select(F.array_join("ids", ">").alias("tour"), "cost", "optimal")
+
+
+@query()
+def shortest_path_trade(spark, sf_dir):
+    path, d = traverse.shortest_path(t.trade_graph(spark, sf_dir), "00", "03")
+    return spark.createDataFrame([(">".join(path), d)], "path string, dist double")
+
+
+@query()
+def dtw_paths(spark, sf_dir):
+    """Warping paths of neighbouring users' series, as their lengths and costs."""
+    s = t.series(spark, sf_dir)
+    w = Window.orderBy("user_id")  # one narrow row per user
+    p = s.select("user_id").withColumn("other", F.lead("user_id").over(w)).where("other is not null")
+    j = p.join(s, "user_id").join(s.select(F.col("user_id").alias("other"), F.col("a").alias("b")), "other")
+    r = alignment.align(j.select(F.col("user_id").cast("string").alias("pair_id"), "a", "b"), path=True)
+    return r.select("pair_id", "distance", F.size("path").alias("steps"))
+
+
+@query()
+def bridge_parts(spark, sf_dir):
+    """The cheapest way across the lattice from its first row to its last."""
+    g = Grid(t.part_lattice(spark, sf_dir), 50, 20)
+    path, cost = g.expand_island(g.cells.where("y = 0"), g.cells.where("y = 19"))
+    return spark.createDataFrame([(len(path), cost)], "cells int, cost int")
+
+
+@query("SELECT CAST(i AS VARCHAR) AS id, 4::BIGINT AS undirected FROM (SELECT unnest(generate_series(0, 39)) AS i)")
+def generate_regular(spark, sf_dir):
+    return gen.build(spark, gen.random_regular(40, 4)).degrees().select("id", "undirected")
+
+
+@query("SELECT * FROM (VALUES ('tetrahedron', 4::BIGINT, 6::BIGINT), ('cube', 8, 12), ('octahedron', 6, 12), ('dodecahedron', 20, 30), ('icosahedron', 12, 30)) v(solid, vertices, edges)")
+def generate_platonic(spark, sf_dir):
+    out = []
+    for name in gen.PLATONIC:
+        g = gen.build(spark, gen.platonic_solid(name))
+        out.append((name, g.vertex_count(), g.edge_count()))
+    return spark.createDataFrame(out, "solid string, vertices long, edges long")
+
+
+@query()
+def generate_word(spark, sf_dir):
+    return gen.build(spark, gen.word("SPARK", "w")).edges.select("src", "dst")
+
+
+@query("SELECT i AS day, true AS ok FROM (SELECT unnest(generate_series(0, 249)) AS i)")
+def signal_ohlc(spark, sf_dir):
+    """Every day's prices lie in their range, and days follow on each other."""
+    o = gen.ohlc_series(spark, 250)
+    w = Window.orderBy("day")
+    ok = (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & F.coalesce(F.abs(F.col("open") - F.lag("close").over(w)) < 1e-6, F.lit(True))
+    return o.select("day", ok.alias("ok"))
