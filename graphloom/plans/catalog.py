@@ -241,7 +241,7 @@ def gram_features(spark, sf_dir):
 
 @query(f"WITH {_M} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, least(greatest(v, -0.1), 0.1) AS v FROM m WHERE j < 4")
 def clip_features(spark, sf_dir):
-    return _features(spark, sf_dir, 4).clip(0.1, -0.1).cells
+    return _features(spark, sf_dir).clip(0.1, -0.1).cells
 
 
 @query(f"WITH {_TRADE}, x AS (SELECT CAST(src AS INTEGER) AS i, CAST(dst AS INTEGER) AS j, weight AS v FROM trade) SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, (coalesce(a.v, 0) + coalesce(b.v, 0)) / 2 AS v FROM x a FULL JOIN x b ON a.i = b.j AND a.j = b.i")
