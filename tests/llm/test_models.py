@@ -119,3 +119,13 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.train(d, lab) is None
     assert [r.score for r in toxicity.score_toxicity(d, None).collect()] == [0.0, 0.0, 0.0]
     assert toxicity.score_toxicity(d.limit(0), None).collect() == []
+
+
+@pytest.mark.parametrize("targets", [{"source": {"a": 0.7, "b": 0.3}}, {"lang": {"nowhere": 1.0}, "source": {"a": 0.2, "b": 0.8}}])
+def test_mix_partial_targets_agree_local_and_wide(spark, targets):
+    rows = [(i, " ".join(["w%d" % (i % 5)] * (1 + i % 7)), "ab"[i % 3 == 0], "xy"[i % 2]) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    a = {r.doc_id: r.probability for r in mixing.mix(d, targets=targets).collect()}
+    b = {r.doc_id: r.probability for r in mixing.mix(d, targets=targets, local_cells=0).collect()}
+    assert a.keys() == b.keys() and max(a.values()) > 0
+    assert all(abs(p - b[k]) < 1e-9 for k, p in a.items())
