@@ -6,10 +6,13 @@ three to the number of labellers, whatever the corpus), and expectation-
 maximisation over those counts estimates how often each labeller casts each
 vote in either class.  The patterns' posteriors are the labels for a logistic
 scorer on hashed features, which is trained on about TRAIN_DOCS documents
-picked by hash and then scores every document.
+picked by a hash of id and text and then scores every document.  Picked
+documents with equal features are one row with a weight, so copies and empty
+texts take the share in the fit that they have in the table, and no more room.
 
 Defined results: a null or empty text is scored like any other (all labellers
-abstain, its features are empty); equal texts score alike; an empty table
+abstain, its features are empty); equal texts score alike, ids only take part
+in which documents are picked; an empty table
 gives an empty result; other columns are not looked at, and no label column
 is an input.
 """
@@ -17,6 +20,7 @@ is an input.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from operator import eq
 
 import numpy as np
@@ -31,6 +35,7 @@ TRAIN_DOCS = 12_000
 BUCKETS = 512
 EM_ROUNDS = 100
 EPOCHS = 400
+SALT = 29
 
 _SYMBOLS = b"!#$%&*|~^<>{}[]=_\\@"
 _UPPER = bytes(range(65, 91))
@@ -130,15 +135,16 @@ def em(counts: dict[int, int], rounds: int = EM_ROUNDS) -> tuple[dict[int, float
     return dict(zip(keys, post[:, GOOD].tolist(), strict=True)), t, share
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, both classes weighing the same."""
+def fit_linear(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, n: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, both classes weighing the same; n: how many documents each row stands for."""
     if not len(y):
         return np.zeros(BUCKETS), 1.0
-    good = max(float(y.sum()), 1e-6)
-    bad = max(float((1 - y).sum()), 1e-6)
+    n = np.ones(len(y)) if n is None else n
+    good = max(float((n * y).sum()), 1e-6)
+    bad = max(float((n * (1 - y)).sum()), 1e-6)
     if min(good, bad) < 0.5:
         return np.zeros(x.shape[1]), 4.0 if good > bad else -4.0
-    weight = y / good + (1 - y) / bad
+    weight = n * (y / good + (1 - y) / bad)
     weight /= weight.sum()
     w, b = np.zeros(x.shape[1]), 0.0
     mean, sq = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -154,33 +160,34 @@ def fit_linear(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.n
 
 
 def _surveyed(docs: DataFrame, rate: float) -> DataFrame:
-    """(votes, x): every document's votes, and the features of those that a hash picks."""
+    """(votes, n, x): documents counted by votes in each batch; x has the features of those that a hash picks."""
     limit = int(rate * 2**32)
+    h = F.pmod(F.xxhash64(F.lit(SALT), "doc_id", "text"), F.lit(1 << 32)).alias("h")
 
     def of(batches):
         for batch in batches:
-            v, x = [], []
-            for b in batch.column("text").cast(pa.binary()).to_pylist():
+            seen = Counter()
+            for b, h in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("h").to_pylist(), strict=True):
                 b = b or b""
                 m = _measures(b)
-                v.append(votes(m))
-                x.append(features(b, m).tobytes() if zlib.crc32(b) < limit else None)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(x, pa.binary())], ["votes", "x"])
+                seen[votes(m), features(b, m).tobytes() if h < limit else None] += 1
+            v, x = zip(*seen, strict=True) if seen else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(seen.values(), pa.int64()), pa.array(x, pa.binary())], ["votes", "n", "x"])
 
-    return pick(docs, "text").mapInArrow(of, "votes long, x binary")
+    return pick(docs, "doc_id", "text").select("text", h).mapInArrow(of, "votes long, n long, x binary")
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> dict:
     """The model: linear weights, and the posteriors by pattern of votes."""
     n = docs.count()
     seen = cut(_surveyed(docs, min(1.0, most / max(1, n))))
-    counts = {r.votes: r.n for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.votes: r.n for r in seen.groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     posterior, tables, share = em(counts)
-    got = seen.where("x is not null").collect()
+    got = sorted((bytes(r.x), r.votes, r.n) for r in seen.where("x is not null").groupBy("votes", "x").agg(F.sum("n").alias("n")).collect())
     release(seen)
-    x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(-1, BUCKETS)
-    y = np.array([posterior[r.votes] for r in got])
-    w, b = fit_linear(x, y)
+    x = np.frombuffer(b"".join(r[0] for r in got), np.float32).reshape(-1, BUCKETS)
+    y = np.array([posterior[r[1]] for r in got])
+    w, b = fit_linear(x, y, n=np.array([r[2] for r in got], float))
     return {"weights": w, "bias": b, "posterior": posterior, "accuracy": tables, "share": share}
 
 

@@ -129,3 +129,16 @@ def test_mix_partial_targets_agree_local_and_wide(spark, targets):
     b = {r.doc_id: r.probability for r in mixing.mix(d, targets=targets, local_cells=0).collect()}
     assert a.keys() == b.keys() and max(a.values()) > 0
     assert all(abs(p - b[k]) < 1e-9 for k, p in a.items())
+
+
+def test_quality_sample_is_bounded_with_many_empty_texts(spark, monkeypatch):
+    got = {}
+
+    def fit(x, y, *a, n=None, **kw):
+        got.update(rows=len(y), n=np.ones(len(y)) if n is None else n)
+        return np.zeros(x.shape[1]), 0.0
+
+    monkeypatch.setattr(quality, "fit_linear", fit)
+    rows = [(i, "" if i % 3 == 0 else f"A sentence, number {i}, of words {i * 7919}.") for i in range(3000)]
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string"), most=300)
+    assert got["rows"] <= 360 and abs(got["n"].sum() - 300) < 60
