@@ -120,3 +120,18 @@ def test_embeddings(spark):
         got = embeddings.embedding_groups(d, shard=shard, goal=1.0)
         assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got.collect()), key=repr) == brute_groups(rows)
     assert embeddings.embedding_groups(d.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<html><head><title>T</title><p>text", "text"),
+        ("<head><meta charset=x><link rel=y>\n plain text", "plain text"),
+        ("<head><noscript><link></noscript><script>x</script></head><body>b", "b"),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then", "if x=1 then"),
+        ("<svg><title>no</title><defs/><g><text>Sales</text><path d='M0'/><text>2024</text></g></svg> after", "Sales 2024 after"),
+        ("İstanbul <b>bold</b><script>no</script><p>end", "İstanbul bold\n\nend"),
+    ],
+)
+def test_html_whole_text(html, text):
+    assert pages.extract(html) == text
