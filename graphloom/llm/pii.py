@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and contexts bootstrapped from them.
 
 One pass over the texts finds the fixed patterns' spans, and every other token
-that looks like an identifier (a run of at least MIN_TOKEN characters with a
-digit or an @ between blanks, stripped of marks at its ends).  Both kinds of
-mention are instances; the two words before a mention, lower-cased, are the
-lexical pattern that it stands in.
+that looks like an identifier (at least MIN_TOKEN characters with a digit or an
+@ between blanks, stripped of marks at its ends; however long).  Both kinds of
+mention are instances, known by a digest of their string; a mention stands in
+two lexical patterns: the two words before it on its line, and the word before
+with the word after.  Words are lower-cased and stripped of marks; a pattern
+longer than LONG_PATTERN characters is known by its digest.
 
 Spans of the fixed patterns are the seeds.  Spark then scores the graph of
 patterns and instances in turn: a pattern's confidence for a kind is the mean
@@ -14,15 +16,19 @@ ROUNDS rounds, patterns with confidence of at least CONFIDENT and at least
 SUPPORT distinct seed instances add their other mentions as spans of that
 kind.
 
-Defined results: a null or empty text has no spans; rows that repeat a doc_id
-are scanned as rows of their own; copies of a text count once in scores,
-because instances are distinct strings; an empty table gives an empty result;
-other columns are not looked at.
+Defined results: a null or empty text has no spans; very long texts, lines and
+tokens are scanned whole and in linear time; rows that repeat a doc_id are
+scanned as rows of their own; copies of a text count once in scores, because
+instances are distinct strings; a mention claimed by several patterns takes
+the kind of the most confident, and of equals the kind listed first; an empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +42,7 @@ CONFIDENT = 0.8
 SUPPORT = 5
 SHRINK = 1.0
 MIN_TOKEN = 6
+LONG_PATTERN = 200
 
 #: Fixed values.  The e-mail pattern is split at the @; the parts before a match's end cannot be taken twice.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,6 +51,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: A token with a digit or an @; tried at the beginnings of tokens only, so that no token is read twice.
+_HINTED = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 _ENDS = "\"'.,;:!?()[]{}<>*|"
 _HINT = re.compile(r"[0-9@]")
 
@@ -58,6 +67,11 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _small(digits: str) -> bool:
+    """At most 255, given without leading zeros."""
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def _emails(t: str):
     last = 0
     for m in _DOMAIN.finditer(t):
@@ -75,7 +89,7 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     if "@" in t:
         out += [(a, 0, b) for a, b in _emails(t)]
     if _HINT.search(t):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(t) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(t) if all(_small(p.lstrip("0")) for p in m[0].split("."))]
         for m in _CARD.finditer(t):
             d = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(d) <= 19 and _luhn(d):
@@ -86,29 +100,21 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def mentions(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
-    """(start, kind or -1, end, instance, pattern) of seeds and of other tokens that look like identifiers."""
+def _digest(s: str) -> str:
+    return blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def mentions(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
+    """(start, kind or -1, end, instance, patterns) of seeds and of other tokens that look like identifiers."""
     out = []
     if not _HINT.search(t):
         return out
-
-    def before(a: int) -> str:
-        """The two words before a; at most 60 characters are looked at, so that long words cost no more."""
-        w = t[max(0, a - 60) : a].rsplit("\n", 1)[-1].lower().split()[-2:]
-        return " ".join(x.strip(_ENDS + "=#-") for x in w)
-
-    taken = []
-    for a, k, b in base:
-        p = before(a)
-        if p:
-            out.append((a, k, b, t[a:b], p))
-        taken.append((a, b))
-    taken.sort()
-    i = 0
-    reach = 0
-    for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", t) if len(t) < 1 << 16 else _TOKEN.finditer(t):
+    found = [(a, k, b) for a, k, b in base]
+    taken = sorted((a, b) for a, _, b in base)
+    i = reach = 0
+    for m in _HINTED.finditer(t):
         a, b = m.span()
-        if b - a < MIN_TOKEN or b - a > 64 or not _HINT.search(m[0]):
+        if b - a < MIN_TOKEN:
             continue
         while a < b and t[a] in _ENDS:
             a += 1
@@ -118,19 +124,48 @@ def mentions(t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
             reach = max(reach, taken[i][1])
             i += 1
         if b - a >= MIN_TOKEN and reach <= a:
-            p = before(a)
-            if p:
-                out.append((a, -1, b, t[a:b], p))
+            found.append((a, -1, b))
+    if not found:
+        return out
+    words = [m.span() for m in _TOKEN.finditer(t)]
+    begins = [a for a, _ in words]
+
+    def word(a: int, b: int) -> str:
+        return t[a:b].lower().strip(_ENDS + "=#-")
+
+    def short(p: str) -> str:
+        return p if len(p) <= LONG_PATTERN else _digest(p)
+
+    for a, k, b in found:
+        at = bisect_left(begins, a)
+        before = []
+        if at and words[at - 1][1] > a:  # the mention begins inside a word
+            at -= 1
+            before.append(word(words[at][0], a))
+        end = a if not before else words[at][0]
+        while at and len(before) < 2:
+            x, y = words[at - 1]
+            if "\n" in t[y:end]:
+                break
+            before.append(word(x, y))
+            at, end = at - 1, x
+        after = bisect_left(begins, b)
+        nxt = word(*words[after]) if after < len(words) and "\n" not in t[words[after - 1][1] : words[after][0]] else ""
+        patterns = [short(" ".join(reversed(before)))] if any(before) else []
+        if before and before[0]:
+            patterns.append(short(f"{before[0]} _ {nxt}"))
+        if patterns:
+            out.append((a, k, b, _digest(t[a:b]), patterns))
     return out
 
 
 _SPANS = "array<struct<start: int, kind: int, end: int>>"
-_MENTIONS = "array<struct<start: int, kind: int, end: int, instance: string, pattern: string>>"
+_MENTIONS = "array<struct<start: int, kind: int, end: int, instance: string, patterns: array<string>>>"
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-    seen = pa.struct([*span, ("instance", pa.string()), ("pattern", pa.string())])
+    seen = pa.struct([*span, ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 
     def of(batches):
         for b in batches:
@@ -138,7 +173,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
             for t in b.column("text").to_pylist():
                 s = base_spans(t or "")
                 base.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in s])
-                found.append([dict(zip(("start", "kind", "end", "instance", "pattern"), x, strict=True)) for x in mentions(t or "", s)])
+                found.append([dict(zip(("start", "kind", "end", "instance", "patterns"), x, strict=True)) for x in mentions(t or "", s)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(seen))], ["doc_id", "base", "mentions"])
 
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -169,11 +204,13 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, confident: float =
     """One row per row of docs: doc_id, base and added, arrays of (start, kind, end); kind indexes KINDS."""
     s = cut(_scanned(docs).withColumn("rid", F.monotonically_increasing_id()))
     m = s.where("size(mentions) > 0").select("rid", F.explode("mentions").alias("m")).select("rid", "m.*")
+    m = m.select("rid", "start", "kind", "end", "instance", F.explode("patterns").alias("pattern"))
     scores = score_patterns(m.select("kind", "instance", "pattern"), rounds)
     sure = scores.where((F.col("confidence") >= confident) & (F.col("support") >= support))
-    best = sure.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", (-F.col("kind")).alias("k"))).alias("as"))
-    best = cut(best)
-    hits = m.where("kind < 0").join(best, "pattern").select("rid", F.struct("start", F.col("as").alias("kind"), "end").alias("span"))
+    claim = lambda: F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best")
+    best = cut(sure.groupBy("pattern").agg(claim()).select("pattern", "best.confidence", F.expr("-best.k").alias("as")))
+    hits = m.where("kind < 0").join(best, "pattern").select("rid", "start", "end", "confidence", F.col("as").alias("kind"))
+    hits = hits.groupBy("rid", "start", "end").agg(claim()).select("rid", F.struct("start", F.expr("-best.k").alias("kind"), "end").alias("span"))
     added = hits.groupBy("rid").agg(F.sort_array(F.collect_set("span")).alias("added"))
     none = F.array().cast(_SPANS)
     return s.join(added.withColumnRenamed("rid", "at"), F.col("rid") == F.col("at"), "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
