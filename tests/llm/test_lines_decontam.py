@@ -69,14 +69,15 @@ def brute_hits(docs, items):
         for i, x in items:
             b = words(x)
             m = min(10, len(b))
-            if not m or i is None:
+            if not m:
                 continue
             grams = {tuple(b[j : j + m]) for j in range(len(b) - m + 1)}
             for j in range(len(w) - m + 1):
                 if tuple(w[j : j + m]) in grams:
                     hit |= set(range(j, j + m))
-                    found.add(str(i))
-        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+                    found.add(i)
+        names = ",".join(sorted(str(i) for i in found if i is not None))  # an item without an id is one that has no name
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
 
@@ -90,16 +91,25 @@ def test_hits(spark, tmp_path):
     rng = random.Random(2)
     vocab = ["w%d" % i for i in range(12)] + ["É", "é", "Ab"]
     text = lambda n: " ".join(rng.choices(vocab, k=n))
-    items = [(i, text(rng.choice([10, 12, 30]))) for i in range(12)] + [(20, "w1 w2, w3"), (21, "w5"), (22, "..."), (23, None), (24, items_dup := text(15)), (25, items_dup), (100, "a a a a a a a a a a a a"), (None, text(11))]
+    items = [(i, text(rng.choice([10, 12, 30]))) for i in range(12)] + [(20, "w1 w2, w3"), (21, "w5"), (22, "..."), (23, None), (24, items_dup := text(15)), (25, items_dup), (100, "a a a a a a a a a a a a"), (None, items_none := text(11)), (None, "w7 w7 w8")]
     docs = [(1, None), (2, ""), (None, items[0][1]), (3, "a " * 25), (4, "x" + items[1][1]), (5, items[3][1].upper() + "! tail " + items[4][1])]
     for i in range(10, 40):
         j = rng.choice(items[:12])[1].split()
         a = rng.randrange(len(j))
         docs.append((i, text(rng.randrange(30)) + " " + " ".join(j[a : a + rng.randrange(4, 14)]) + "-" + text(5)))
-    docs.append((50, " ".join(x for _, x in items if x) * 20))
+    docs += [(50, " ".join(x for _, x in items if x) * 20), (51, f"so {items_none} there"), (52, "W7 w7 w8"), (None, None), (53, "w5 " * 70_000)]
     assert hits(spark, docs, items, tmp_path) == brute_hits(docs, items)
 
 
+def test_hits_empty_and_clashing(spark):
+    b = spark.createDataFrame([(1, "one two three", 5, "x")], "item_id long, text string, m int, Words string")
+    d = spark.createDataFrame([], "doc_id long, text string, rid int, fps int, H long")
+    assert decontam.decontaminate(d, b).collect() == []
+    d = spark.createDataFrame([(1, "so one, two three", 2, 3, 4)], "doc_id long, text string, rid int, fps int, H long")
+    r = decontam.decontaminate(d, b).first()
+    assert (r.doc_id, r.n_words, r.n_hit, [tuple(x) for x in r.spans]) == (1, 4, 3, [(1, 4)])
+
+
 def test_no_items(spark, tmp_path):
     docs = [(1, "some words"), (2, None)]
     assert hits(spark, docs, [], tmp_path) == brute_hits(docs, [])
@@ -111,5 +121,8 @@ def test_blocks(spark):
     docs = [(i, " ".join(rng.choices("abcdefghij", k=6)) + " " + items[i % 10][1]) for i in range(20)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    key = lambda f: sorted((r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in f.collect())
-    assert key(decontam.decontaminate(d, b, block=7)) == key(decontam.decontaminate(d, b))
+    key = lambda f: sorted((r.doc_id, r.n_words, r.n_hit, sorted(x.item_id for x in r["items"])) for r in f.collect())
+    whole = key(decontam.decontaminate(d, b))
+    assert [(i, n) for i, _, n, _ in whole] == [(i, n) for i, _, n, *_ in sorted(brute_hits(docs, items))]
+    for block, near in ((7, 100), (7, 0), (1000, 0)):
+        assert key(decontam.decontaminate(d, b, block=block, near=near)) == whole
