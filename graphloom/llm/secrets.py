@@ -1,43 +1,52 @@
 """Secret scan: three fixed patterns and a character Markov model, in SQL functions only.
 
-Spans come from regular expressions that begin where the last match ended,
-so that the text before each match is known and positions are running sums.
+Each pattern's matches and the text between them are taken apart once per
+pattern; a match ends where the lengths of all before it add up to.  Sums run
+in chunks of CHUNK matches, so a text of very many matches stays cheap, and a
+document's spans are made in its own row without a shuffle.
 
 The model: transition counts between characters of random strings (labelled
 positives: hexadecimal, base-64 and upper-case alphanumeric digests of
 consecutive numbers) and of ordinary identifiers (labelled negatives: words
-of a bounded sample of documents, alone and joined in snake and camel case).
-A run of at least ``MIN_RUN`` identifier characters is a secret if its mean
-log-likelihood ratio exceeds the calibrated threshold: half way between the
-means of both samples, or the negatives' mean plus six of their deviations
-if that is higher.  Only the table of transitions (alphabet squared) and four
-moments reach the driver.
-
-Defined results: a null or empty text has no spans; rows that repeat a doc_id
-are scanned as rows of their own; an empty table gives an empty result (the
-model then has no negatives but a uniform one); other columns are not looked
-at.
+without digits of a bounded sample of documents, alone and joined in snake and camel case and as paths).
+A run of at least ``MIN_RUN`` identifier characters that no fixed pattern
+overlaps is a secret if its mean log-likelihood ratio exceeds the calibrated
+threshold: half way between the means of both samples, or the negatives' mean
+plus six of their deviations if that is higher, but never more than three
+quarters of the way to the positives' mean.  Where the positives' mean is not
+the higher one, no run is a secret.  Only the table of transitions (alphabet
+squared) and four moments reach the driver.
+
+Defined results: a null or empty text has no spans; very long texts are
+scanned whole; runs shorter than ``MIN_RUN`` are never scored; a run whose
+ratio equals the threshold is none; rows that repeat a doc_id are scanned as
+rows of their own, a null doc_id is kept; an empty table gives an empty result
+(the model then has no negatives but a uniform one); other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, table
 
 #: Fixed values.
 ASSIGN = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA([A-Z0-9]+)"
-HEX = r"([0-9a-f]{32,})"
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]{32,}"
 MIN_VALUE = 8
 MIN_ACCESS = 16
 MIN_RUN = 20
-RUN = rf"([A-Za-z0-9+/_-]{{{MIN_RUN},}})"
+RUN = rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+CHUNK = 256
+FALSE_ALARMS = 0.001
+MISSES = 0.01
 SAMPLE_DOCS = 2000
 SAMPLE_RANDOM = 3000
 
@@ -62,13 +71,13 @@ def random_strings(spark: SparkSession, n: int = SAMPLE_RANDOM) -> DataFrame:
 
 
 def ordinary_identifiers(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
-    """Words of at most about ``most`` documents, picked by hash of doc_id, alone and joined as identifiers are."""
+    """Words of about ``most`` documents, picked by hash of id and text, alone and joined as identifiers are."""
     rate = min(1.0, most / max(1, docs.count()))
-    d = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(math.ceil(rate * 1_000_000)))
-    words = d.select(F.expr("filter(split(coalesce(text, ''), '[^A-Za-z]+'), w -> length(w) between 2 and 30)").alias("w"))
-    both = F.expr(
-        "concat(w, transform(slice(w, 1, 200), (x, i) -> if(i % 2 = 0, concat_ws('_', x, get(w, i + 1), get(w, i + 2)), concat(x, initcap(coalesce(get(w, i + 1), ''))))))"
-    )
+    d = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(math.ceil(rate * 1_000_000)))
+    words = d.select(F.expr("filter(split(coalesce(text, ''), '[^A-Za-z0-9]+'), w -> length(w) > 1 and not w rlike '[0-9]')").alias("w"))
+    joined = "concat_ws({}, x, get(w, i + 1), get(w, i + 2))"
+    one = f"case i % 4 when 0 then {joined.format(chr(39) + '_' + chr(39))} when 1 then {joined.format(chr(39) + '/' + chr(39))} when 2 then {joined.format(chr(39) + '-' + chr(39))} else concat(x, initcap(coalesce(get(w, i + 1), '')), initcap(coalesce(get(w, i + 2), ''))) end"
+    both = F.expr(f"concat(w, transform(w, (x, i) -> {one}))")
     return words.select(F.explode(both).alias("tok"))
 
 
@@ -87,13 +96,13 @@ def train(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS)
                 ratio[a * w + b] += sign * (math.log(n[a * w + b]) - total)
     model = {"table": ratio, "threshold": 0.0}
 
-    def moments(df: DataFrame) -> tuple[float, float]:
-        m = df.where(f"length(tok) >= {MIN_RUN}").select(F.expr(score_sql("tok", model)).alias("s")).agg(F.avg("s"), F.stddev_pop("s")).first()
-        return (m[0] or 0.0, m[1] or 0.0)
+    def scores(df: DataFrame, share: float):
+        m = df.where(f"length(tok) >= {MIN_RUN}").select(F.expr(score_sql("tok", model)).alias("s"))
+        r = m.agg(F.avg("s"), F.percentile_approx("s", share, 10_000)).first()
+        return r[0] or 0.0, r[1] or 0.0
 
-    (mp, _), (mn, sn) = moments(pos), moments(neg)
-    model["threshold"] = max((mp + mn) / 2, mn + 6 * sn) if mp > mn else math.inf
-    model["threshold"] = min(model["threshold"], (mp * 3 + mn) / 4)
+    (mp, low), (mn, high) = scores(pos, MISSES), scores(neg, 1 - FALSE_ALARMS)
+    model["threshold"] = min((low + high) / 2, low) if mp > mn else math.inf
     return model
 
 
@@ -107,20 +116,24 @@ def score_sql(tok: str, model: dict) -> str:
     )
 
 
-def _matches(kind: int, pattern: str, ok: str, flags: str = "(?s)") -> str:
-    """SQL: array of (k, i, gap, len, ok, tok) of a pattern's matches, gap being what stands before each."""
-    full = f"{flags}\\\\G(.*?)({pattern})".replace("'", "\\'")
-    tok = "x.`1`" if kind == 3 else "cast(null as string)"
-    part = [f"regexp_extract_all(body, '{full}', {g})" for g in (1, 2, 3)]
-    made = (
-        f"transform(arrays_zip({part[0]}, {part[1]}, {part[2]}), (x, i) -> struct({kind} as k, i as i,"
-        f" char_length(x.`0`) as gap, char_length(x.`1`) as len, {ok} as ok, {tok} as tok))"
-    )
-    find = f"{flags}{pattern}".replace("'", "\\'")
-    return f"if(body rlike '{find}', {made}, cast(array() as {_TYPE}))"
+def _ends(steps: str) -> str:
+    """SQL for the running sums of an array of ints, a chunk at a time."""
+    add = "(acc, x) -> concat(acc, array(element_at(acc, -1) + x))"
+    chunk = f"slice({steps}, b * {CHUNK} + 1, {CHUNK})"
+    chunks = f"sequence(0, (size({steps}) - 1) div {CHUNK})"
+    base = f"aggregate(transform({chunks}, b -> aggregate({chunk}, 0, (s, x) -> s + x)), array(0), {add})"
+    sums = f"flatten(transform(arrays_zip({chunks}, slice({base}, 1, size({chunks}))), z -> transform(array(z.`0`), b -> slice(aggregate({chunk}, array(z.`1`), {add}), 2, {CHUNK}))[0]))"
+    return f"if(size({steps}) = 0, cast(array() as array<int>), {sums})"
 
 
-_TYPE = "array<struct<k: int, i: int, gap: int, len: int, ok: boolean, tok: string>>"
+def _spanned(d: DataFrame, k: int, pattern: str, ok: str, flags: str = "(?s)") -> DataFrame:
+    """d with s<k>: array of (start, k, end) of a pattern's matches for which ok, SQL on the match m, holds."""
+    own = (flags + pattern).replace("\\", "\\\\").replace("'", "\\'")
+    d = d.withColumn("ms", F.expr(f"regexp_extract_all(body, '{own}', 0)"))
+    d = d.withColumn("steps", F.expr(f"if(size(ms) = 0, cast(array() as array<int>), zip_with(ms, slice(split(body, '{own}'), 1, size(ms)), (m, g) -> char_length(m) + char_length(g)))"))
+    d = d.withColumn("ends", F.expr(_ends("steps")))
+    spans = f"transform(filter(arrays_zip(ms, ends), z -> exists(array(z.ms), m -> {ok.format(own=own)})), z -> struct(z.ends - char_length(z.ms) as start, {k} as k, z.ends as end))"
+    return d.withColumn(f"s{k}", F.expr(spans)).drop("ms", "steps", "ends")
 
 
 def find_secrets(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -129,34 +142,15 @@ def find_secrets(docs: DataFrame, model: dict | None = None) -> DataFrame:
     d = pick(docs, "doc_id", "text")
     if model is None:
         model = train(spark, d)
-    esc = lambda p: p.replace("\\", "\\\\")
-    found = ", ".join(
-        [
-            _matches(0, esc(ASSIGN), f"char_length(x.`2`) >= {MIN_VALUE}", "(?si)"),
-            _matches(1, esc(ACCESS), f"char_length(x.`1`) >= {MIN_ACCESS}"),
-            _matches(2, esc(HEX), "true"),
-            _matches(3, esc(RUN), "true"),
-        ]
-    )
-    mark = f"cast(array(struct(-1, 0, 0, 0, true, cast(null as string))) as {_TYPE})"
-    e = (
-        d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("body"))
-        .select("rid", "doc_id", F.explode(F.expr(f"concat({mark}, {found})")).alias("m"))
-        .select("rid", "doc_id", "m.k", "m.i", "m.gap", "m.len", "m.ok", "m.tok")
-        .repartition("rid")
-    )
-    so_far = Window.partitionBy("rid", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far)).where("ok")
-    score = F.expr(f"if(tok is null, 0D, {score_sql('tok', model)})")
-    e = e.withColumn("score", score).where(f"k <> 3 or score > {model['threshold'] if math.isfinite(model['threshold']) else 1e300}")
-    span = F.struct((F.col("end") - F.col("len")).alias("start"), "k", "end")
-    g = e.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sort_array(F.collect_list(F.when(F.col("k").between(0, 2), span))).alias("base"),
-        F.sort_array(F.collect_list(F.when(F.col("k") == 3, span))).alias("runs"),
-    )
+    least = model["threshold"] if math.isfinite(model["threshold"]) else 1e300
+    d = d.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    d = _spanned(d, 0, ASSIGN, f"char_length(regexp_extract(m, '{{own}}', 1)) >= {MIN_VALUE}", "(?si)")
+    d = _spanned(d, 1, ACCESS, f"char_length(m) >= {MIN_ACCESS}")
+    d = _spanned(d, 2, HEX, "true")
+    d = _spanned(d, 3, RUN, f"{score_sql('m', model)} > {least}")
+    d = d.select("doc_id", F.expr("sort_array(concat(s0, s1, s2))").alias("base"), F.col("s3").alias("runs"))
     apart = "if(size(base) = 0, runs, filter(runs, r -> not exists(base, b -> b.start < r.end and r.start < b.end)))"
-    return g.select("doc_id", "base", F.expr(apart).alias("added"))
+    return d.select("doc_id", "base", F.expr(apart).alias("added"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Secret spans against the patterns as Python runs them."""
 
 import hashlib
+import random
 import re
+import string
 
 from graphloom.llm import secrets
 
@@ -50,6 +52,31 @@ def test_base_and_added(spark):
         assert not (r.doc_id or 0) >= 100 or not r.added
 
 
+def test_unseen_random_tokens_are_found(spark):
+    """Of random tokens that no fixed pattern holds nearly all are found, and of ordinary identifiers none."""
+    rng = random.Random(4)
+    letters = string.ascii_letters + string.digits
+    words = "reading the quick brown configuration settings while lazy foxes jump over many dogs and parse every message queue handler".split()
+    rows, planted = [], {}
+    for i in range(300):
+        text = " ".join(rng.choices(words, k=30)) + " " + "_".join(rng.choices(words, k=5)) + " src/" + "/".join(rng.choices(words, k=4)) + " "
+        if i % 3 == 0:
+            planted[i] = "".join(rng.choices(letters, k=rng.randrange(20, 44)))
+            text += planted[i] + " "
+        rows.append((i, text + " ".join(rng.choices(words, k=10))))
+    got = {r.doc_id: [rows[r.doc_id][1][x.start : x.end] for x in r.added] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == [x] for i, x in planted.items()) >= 0.95 * len(planted)
+    assert not any(got[i] for i in got if i not in planted)
+
+
+def test_chunks_of_matches(spark):
+    n = 3 * secrets.CHUNK + 5
+    text = "".join(f"é token=abcdefg{i:05d}\n" for i in range(n))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = {"table": [0.0] * (len(secrets.ALPHABET) + 1) ** 2, "threshold": float("inf")}
+    assert [tuple(x) for x in secrets.find_secrets(d, model).first().base] == base(text)
+
+
 def test_empty_and_clashing(spark):
     d = spark.createDataFrame([], "doc_id long, text string, base int, rid int, Body string")
     assert secrets.find_secrets(d).collect() == []
