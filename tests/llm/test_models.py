@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from graphloom.llm import mixing, quality, toxicity
 
@@ -65,12 +66,13 @@ def test_probabilities_meet_the_budget():
 
 
 def test_mix_local_and_wide_agree(spark, docs):
+    model = mixing.fit_topics(docs.select("doc_id", "text"))
     a = {r.doc_id: r for r in mixing.mix(docs).collect()}
     b = {r.doc_id: r for r in mixing.mix(docs, local_cells=0).collect()}
     assert a.keys() == b.keys()
     for k, r in a.items():
         assert abs(r.probability - b[k].probability) < 1e-4
-        assert (r.topic, r.tokens) == mixing.topic_of(docs_text(docs)[k])
+        assert (r.topic, r.tokens) == mixing.topic_of(docs_text(docs)[k], model)
     tokens = sum(r.tokens for r in a.values())
     assert abs(sum(r.tokens for r in a.values() if r.sampled) / tokens - 0.5) < 0.1
 
@@ -84,6 +86,77 @@ def docs_text(docs):
     return _TEXTS
 
 
+def chained(*parts):
+    """Spark's hash of an int and longs; nulls are skipped."""
+    h = 42
+    for size, x in parts:
+        if x is not None:
+            h = xxhash.xxh64_intdigest((x & (1 << 8 * size) - 1).to_bytes(size, "little"), h)
+    return h
+
+
+def brute_mix(rows, model, share=0.5, temper=0.7, seed=17):
+    """(doc_id, topic, tokens, probability, sampled) of rows (doc_id, text, source, lang), one cell and one key at a time."""
+    made = [(d, t, s, g, *mixing.topic_of(t, model)) for d, t, s, g in rows]
+    cells = {}
+    for _, _, s, g, topic, n in made:
+        cells[s, g, topic] = cells.get((s, g, topic), 0) + n
+    total = sum(cells.values())
+    w = {k: n / total for k, n in cells.items()}
+    aims = []
+    for d in range(3):
+        sums = {}
+        for k, n in cells.items():
+            sums[k[d]] = sums.get(k[d], 0) + n
+        raw = {k: n**temper if n else 0.0 for k, n in sums.items()}
+        aims.append({k: v / sum(raw.values()) for k, v in raw.items()})
+    for _ in range(200):
+        for d in range(3):
+            have = {}
+            for k, v in w.items():
+                have[k[d]] = have.get(k[d], 0.0) + v
+            w = {k: v * aims[d][k[d]] / have[k[d]] if have[k[d]] else 0.0 for k, v in w.items()}
+    gain = {k: w[k] * total / n if n else 0.0 for k, n in cells.items()}
+    budget = min(share * total, sum(n for k, n in cells.items() if gain[k] > 0))
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(n * min(1.0, mid * gain[k]) for k, n in cells.items()) < budget else (lo, mid)
+    out = []
+    for d, t, s, g, topic, n in made:
+        p = min(1.0, hi * gain[s, g, topic])
+        th = xxhash.xxh64_intdigest((t or "").encode(), 42) if t is not None else 42
+        u = chained((4, seed), (8, d), (8, th))
+        u = (u - (1 << 64) if u >> 63 else u) % (1 << 53) / float(1 << 53)
+        out.append((d, topic, n, p, u < p))
+    return out
+
+
+def same_mix(got, want):
+    got, want = sorted(got, key=repr), sorted(want, key=repr)
+    assert [(d, t, n) for d, t, n, *_ in got] == [(d, t, n) for d, t, n, *_ in want]
+    for (*_, p, s), (*_, q, r) in zip(got, want, strict=True):
+        assert abs(p - q) < 1e-6 and s == r
+
+
+def test_query_mixing_against_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    vocab = {g: ["%s%d" % (g, i) for i in range(60)] for g in ("sport", "law", "food")}
+    rows = [(1, None, None, "en"), (2, "", "s", None), (2, "", "s", None), (None, "sport1 law2", "s", "en"), (3, "food1 " * 50_000, "web", "fr")]
+    for i in range(10, 250):
+        g = rng.choice(list(vocab))
+        rows.append((i, " ".join(rng.choices(vocab[g], k=rng.randrange(1, 80))), "web" if i % 3 else rng.choice(["book", None]), rng.choice(["en", "fr"])))
+    d = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, source string, lang string, topic int, TOKENS string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    model = mixing.fit_topics(d.select("doc_id", "text"))
+    got = mixing.op2_mixing(spark, str(tmp_path))
+    same_mix([(r.doc_id, r.topic, r.tokens, r.probability, r.sampled) for r in got.collect()], brute_mix(rows, model))
+    # Documents of one vocabulary share a topic, and others have another.
+    mode = {g: [r.topic for r in got.collect() if r.tokens < 100 and any(x[0] == r.doc_id and (x[1] or "").startswith(g) for x in rows)] for g in vocab}
+    tops = {g: max(set(v), key=v.count) for g, v in mode.items()}
+    assert len(set(tops.values())) == 3
+
+
 def test_mix_odd_rows(spark):
     d = spark.createDataFrame([(1, None, None, "en"), (2, "", "s", None), (2, "a b", "s", "en"), (None, "a b", "s", "en")], "doc_id long, text string, source string, lang string")
     got = mixing.mix(d).collect()
