@@ -11,10 +11,11 @@ documents with equal features are one row with a weight, so copies and empty
 texts take the share in the fit that they have in the table, and no more room.
 
 Defined results: a null or empty text is scored like any other (all labellers
-abstain, its features are empty); equal texts score alike, ids only take part
-in which documents are picked; an empty table
-gives an empty result; other columns are not looked at, and no label column
-is an input.
+abstain, its features are empty); very long texts are measured whole; equal
+texts score alike, ids only take part in which documents are picked; rows that
+repeat an id are rows of their own, a null doc_id is kept; a score equal to the
+threshold keeps its document; an empty table gives an empty result; other
+columns are not looked at, and no label column is an input.
 """
 
 from __future__ import annotations
@@ -149,9 +150,10 @@ def fit_linear(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, n: np.ndarray
     w, b = np.zeros(x.shape[1]), 0.0
     mean, sq = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for i in range(1, epochs + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        # Products in the features' own precision: a wider factor would copy all of x each time.
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -30, 30)))
         d = weight * (p - y)
-        g = np.append(x.T @ d + 1e-5 * w, d.sum())
+        g = np.append(d.astype(x.dtype) @ x + 1e-5 * w, d.sum())
         mean = 0.9 * mean + 0.1 * g
         sq = 0.99 * sq + 0.01 * g * g
         step = 0.2 * (mean / (1 - 0.9**i)) / (np.sqrt(sq / (1 - 0.99**i)) + 1e-9)
@@ -216,6 +218,7 @@ def classify(docs: DataFrame, model: dict | None = None, threshold: float = 0.5)
 
 
 def keep_good(docs: DataFrame, model: dict | None = None, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score at least threshold, with doc_id, text, lang, source and n_chars only."""
     d = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     model = model or train(d)
     return d.where(scorer(model)("text")["score"] >= threshold)
