@@ -2,13 +2,14 @@
 
 Identical vectors of a label are one point with a weight.  Points of a label
 are dealt to overlapping cluster shards: centroids are picked from a bounded
-sample of the label (SAMPLE points, by hash), and every point is indexed in
-the shards of its OVERLAP nearest centroids; a shard that grows beyond twice
-SHARD points is split by hash, and its parts are then compared with one
-another.  Each shard's graph takes every member's nearest members as
-candidates and keeps those that robust pruning leaves; the adjacency lists
-of all shards are united per point and go back to the shards that hold both
-ends, so edges found in one shard serve the others.
+sample of the label (SAMPLE points, by hash), at most CENTRES in all, so that
+what tasks carry is bounded, and every point is indexed in the shards of its
+OVERLAP nearest centroids; a label of at most SHARD points is one shard.  A
+shard that grows beyond twice SHARD points is split by hash, and its parts are
+then compared with one another.  Each shard's graph takes every member's
+nearest members as candidates and keeps those that robust pruning leaves; the
+adjacency lists of all shards are united per point and go back to the shards
+that hold both ends, so edges found in one shard serve the others.
 
 Search: every point is a query in the shards of its PROBES nearest centroids.
 It walks greedily along the graph with a beam, from the shard's medoid and
@@ -19,15 +20,19 @@ A pair is counted in the first shard that query and point have in common, so
 counts need no pairs to be gathered: a shard returns a count per query and a
 spanning forest of its links.
 
-Recall is audited on AUDIT queries, picked by hash, against all points of
-their label in blocks.  If it is below GOAL, beam and probes are doubled and
-the search runs again, at most until every shard is probed.
+Recall is audited for each label on about AUDIT of its points, picked by hash,
+against all points of the label in chunks; nothing of it is gathered on the
+driver but the least recall.  If that is below GOAL, beam and probes are
+doubled and the search runs again; once every shard is probed and that is
+still not enough, members are compared without the graph, which is exact.
 
 Defined results: a vector that is null, zero, or holds nulls or non-finite
 components links with nothing, and so does one whose label is null; lengths
-that differ within a label never link; rows that repeat a vec_id are vectors
-of their own; a null vec_id names no component; an empty table gives an empty
-result; other columns are not looked at.
+that differ within a label never link; a cosine equal to the radius links;
+very long vectors are compared whole; rows that repeat a vec_id are vectors
+of their own; a null vec_id names no component; recall is null where a label's
+audit met no link; an empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -53,6 +58,8 @@ BEAM = 24
 SAMPLE = 4000
 AUDIT = 64
 GOAL = 0.97
+CENTRES = 100_000
+CHUNK = 50_000
 _BLOCK = 256
 
 
@@ -188,55 +195,55 @@ def _points(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, cut(points.withColumn("id", F.monotonically_increasing_id()))
 
 
-def _centroids(points: DataFrame, shard: int, sample: int) -> dict:
-    """Per (label, dims) unit centroids; from at most about ``sample`` points of each."""
-    sizes = {(r["label"], r["dims"]): r["n"] for r in points.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n")).collect()}
+def _sizes(points: DataFrame) -> DataFrame:
+    """(label, dims, n, first): how many points each label has, and the least id, which names its only shard."""
+    return cut(points.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")))
+
+
+def _centroids(points: DataFrame, sizes: DataFrame, shard: int, sample: int) -> dict:
+    """Per (label, dims) of more than a shard, unit centroids; from at most about ``sample`` points of each."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    size = max(shard, -(-total // CENTRES))
+    large = sizes.where(F.col("n") > size).withColumn("k", F.ceil(F.col("n") / size))
+    picked = points.select("label", "dims", "v", "digest").join(large.select("label", "dims", "n", "k"), ["label", "dims"])
+    rate = F.least(F.lit(1.0), F.least(F.lit(sample), 40 * F.col("k")) / F.col("n"))
+    picked = picked.where(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) < F.ceil(rate * 1_000_000))
+    by: dict = {}
+    for r in picked.collect():
+        by.setdefault((r["label"], r["dims"], r["k"]), []).append((r["digest"], r["v"]))
     out = {}
-    picked = None
-    for (label, dims), n in sizes.items():
-        k = max(1, -(-n // shard))
-        if k == 1:
-            out[label, dims] = np.zeros((1, dims))
-            continue
-        rate = min(1.0, min(sample, 40 * k) / n)
-        own = points.where((F.col("label") == label) & (F.col("dims") == dims)).where(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) < math.ceil(rate * 1_000_000))
-        picked = own if picked is None else picked.unionByName(own)
-    if picked is not None:
-        by: dict = {}
-        for r in picked.select("label", "dims", "v", "digest").collect():
-            by.setdefault((r["label"], r["dims"]), []).append((r["digest"], r["v"]))
-        for key, got in by.items():
-            x = np.array([_unit(v) for _, v in sorted(got)])
-            k = min(len(x), max(1, -(-sizes[key] // shard)))
-            c = x[np.linspace(0, len(x) - 1, k).astype(int)]
-            for _ in range(8):
-                near = (x @ c.T).argmax(axis=1)
-                c = np.array([x[near == j].sum(axis=0) if (near == j).any() else c[j] for j in range(k)])
-                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-            out[key] = c
-        for key, n in sizes.items():
-            out.setdefault(key, np.zeros((1, key[1])))
+    for (label, dims, k), got in by.items():
+        x = np.array([_unit(v) for _, v in sorted(got)])
+        k = min(len(x), k)
+        c = x[np.linspace(0, len(x) - 1, k).astype(int)]
+        for _ in range(8):
+            near = (x @ c.T).argmax(axis=1)
+            c = np.array([x[near == j].sum(axis=0) if (near == j).any() else c[j] for j in range(k)])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        out[label, dims] = c
     return out
 
 
-def _dealt(points: DataFrame, centroids: dict, probes: int) -> DataFrame:
+def _dealt(points: DataFrame, sizes: DataFrame, centroids: dict, probes: int) -> DataFrame:
     """points with their shards, nearest first: those after the first OVERLAP are probed only."""
-    keys = {k: i for i, k in enumerate(sorted(centroids))}
-    base = np.cumsum([0, *[len(centroids[k]) for k in sorted(centroids)]])
+    base, at = {}, 0
+    for k in sorted(centroids):
+        base[k] = at
+        at += len(centroids[k])
 
     def of(batches):
         for b in batches:
-            lab, dims, vec = b.column("label").to_pylist(), b.column("dims").to_pylist(), b.column("v").to_pylist()
+            lab, dims, vec, first = (b.column(c).to_pylist() for c in ("label", "dims", "v", "first"))
             shards, units = [], []
-            for k, d, v in zip(lab, dims, vec, strict=True):
+            for k, d, v, f in zip(lab, dims, vec, first, strict=True):
                 u = _unit(v)
-                c = centroids[k, d]
-                near = np.argsort(-(c @ u), kind="stable")[: max(probes, OVERLAP)]
-                shards.append((near + base[keys[k, d]]).tolist())
+                c = centroids.get((k, d))
+                shards.append([-1 - f] if c is None else (np.argsort(-(c @ u), kind="stable")[: max(probes, OVERLAP)] + base[k, d]).tolist())
                 units.append(u.tolist())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("weight"), pa.array(units, pa.list_(pa.float64())), pa.array(shards, pa.list_(pa.int32()))], ["id", "weight", "u", "shards"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("weight"), pa.array(units, pa.list_(pa.float64())), pa.array(shards, pa.list_(pa.int64()))], ["id", "weight", "u", "shards"])
 
-    return points.select("id", "weight", "label", "dims", "v").mapInArrow(of, "id long, weight long, u array<double>, shards array<int>")
+    named = points.join(sizes.select("label", "dims", "first"), ["label", "dims"])
+    return named.select("id", "weight", "label", "dims", "v", "first").mapInArrow(of, "id long, weight long, u array<double>, shards array<bigint>")
 
 
 def _placed(dealt: DataFrame, shard: int) -> DataFrame:
@@ -269,7 +276,7 @@ def _graphs(placed: DataFrame) -> DataFrame:
     return lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def _found(placed: DataFrame, lists: DataFrame, radius: float, beam: int) -> DataFrame:
+def _found(placed: DataFrame, lists: DataFrame, radius: float, beam: int, exact_pass: bool = False) -> DataFrame:
     """(kind, a, b): counts (0: point, weight of what it links to) and forest edges (1: point, point)."""
     rows = placed.join(lists.withColumnRenamed("id", "at"), F.col("id") == F.col("at")).drop("at")
 
@@ -299,7 +306,10 @@ def _found(placed: DataFrame, lists: DataFrame, radius: float, beam: int) -> Dat
                 lo, hi = np.searchsorted(owner, [i, i + m])
                 own = np.arange(i, max(i, min(i + m, n)))
                 enter = (np.concatenate([np.arange(m), owner[lo:hi] - i, own - i]), np.concatenate([np.full(m, medoid), at[lo:hi], own]))
-                q, p = search(members, graph, x[i : i + m], enter, radius - 1e-4, beam)
+                if exact_pass:
+                    q, p = np.nonzero(x[i : i + m] @ members.T >= radius - 1e-4)
+                else:
+                    q, p = search(members, graph, x[i : i + m], enter, radius - 1e-4, beam)
                 q = q + i
                 keep = (q != p) & (ids[q] != ids[p])
                 q, p = q[keep], p[keep]
@@ -318,66 +328,60 @@ def _found(placed: DataFrame, lists: DataFrame, radius: float, beam: int) -> Dat
     return rows.groupBy("shard", "sub").applyInArrow(look, "kind int, a long, b long")
 
 
-def _audit(points: DataFrame, dealt: DataFrame, found: DataFrame, radius: float, most: int) -> float:
-    """Share of the exact links of some points that were found."""
-    n = points.count()
-    if not n:
-        return 1.0
-    rate = min(1.0, most / n)
-    asked = points.where(F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(1_000_000)) < math.ceil(rate * 1_000_000))
-    queries = [(r["id"], r["label"], r["dims"], _unit(r["v"])) for r in asked.select("id", "label", "dims", "v").collect()]
-    if not queries:
-        return 1.0
-    by: dict = {}
-    for i, label, dims, u in queries:
-        by.setdefault((label, dims), []).append((i, u))
-
-    def of(batches):
-        for b in batches:
-            out_i, out_n = [], []
-            lab, dims = b.column("label").to_pylist(), b.column("dims").to_pylist()
-            ids, w = b.column("id").to_numpy(), b.column("weight").to_numpy()
-            vec = b.column("v").to_pylist()
-            for key in set(zip(lab, dims, strict=True)) & set(by):
-                at = [j for j, k in enumerate(zip(lab, dims, strict=True)) if k == key]
-                x = np.array([_unit(vec[j]) for j in at])
-                q = np.array([u for _, u in by[key]])
-                hit = q @ x.T >= radius
-                for (i, _), h in zip(by[key], hit, strict=True):
-                    h = h & (ids[at] != i)
-                    if h.any():
-                        out_i.append(i)
-                        out_n.append(int(w[at][h].sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(out_i, pa.int64()), pa.array(out_n, pa.int64())], ["id", "n"])
-
-    truth = points.select("id", "weight", "label", "dims", "v").mapInArrow(of, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    got = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("got"))
-    r = truth.join(got, truth["id"] == got["a"], "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("got", F.lit(0)))).alias("got")).first()
-    return r["got"] / r["n"] if r["n"] else 1.0
+def _audit(points: DataFrame, sizes: DataFrame, found: DataFrame, radius: float, most: int) -> DataFrame:
+    """(label, dims, recall): the share of the exact links of about ``most`` points of each label that were found."""
+    chunks = F.ceil(F.col("n") / CHUNK)
+    p = points.select("id", "weight", "label", "dims", "v", "digest").join(sizes.select("label", "dims", "n"), ["label", "dims"])
+    rate = F.least(F.lit(1.0), F.lit(most) / F.col("n"))
+    asked = p.where(F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(1_000_000)) < F.ceil(rate * 1_000_000))
+    asked = asked.select(F.col("label").alias("q0"), F.col("dims").alias("q1"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("q2"), F.col("id").alias("qid"), F.col("v").alias("qv"))
+    p = p.select("label", "dims", F.pmod(F.xxhash64("id"), chunks).alias("chunk"), "id", "weight", "v")
+
+    def count(ours: pa.Table, queries: pa.Table) -> pa.Table:
+        out_i, out_n = [], []
+        if ours.num_rows and queries.num_rows:
+            ids, w = ours.column("id").to_numpy(), ours.column("weight").to_numpy()
+            x = np.array([_unit(v) for v in ours.column("v").to_pylist()])
+            for i, v in zip(queries.column("qid").to_pylist(), queries.column("qv").to_pylist(), strict=True):
+                hit = (x @ _unit(v) >= radius) & (ids != i)
+                if hit.any():
+                    out_i.append(i)
+                    out_n.append(int(w[hit].sum()))
+        return pa.table({"id": pa.array(out_i, pa.int64()), "n": pa.array(out_n, pa.int64())})
+
+    truth = p.groupBy("label", "dims", "chunk").cogroup(asked.groupBy("q0", "q1", "q2")).applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    got = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("got"))
+    r = truth.join(got, "id", "left").join(points.select("id", "label", "dims"), "id")
+    return cut(r.groupBy("label", "dims").agg((F.sum(F.least("n", F.coalesce("got", F.lit(0)))) / F.sum("n")).alias("recall")))
 
 
 def embedding_groups(vectors: DataFrame, radius: float = COSINE, shard: int = SHARD, probes: int = PROBES, beam: int = BEAM, goal: float = GOAL, audit: int = AUDIT) -> DataFrame:
-    """One row per row of vectors: vec_id, n_links, component_id, kept, recall (as audited)."""
+    """One row per row of vectors: vec_id, n_links, component_id, kept, recall (as audited for its label, null without a link)."""
     rows, points = _points(vectors)
-    centroids = _centroids(points, shard, SAMPLE)
+    sizes = _sizes(points)
+    centroids = _centroids(points, sizes, shard, SAMPLE)
     most = max([len(c) for c in centroids.values()], default=1)
+    exact = False
     while True:
-        dealt = cut(_dealt(points, centroids, probes))
+        dealt = cut(_dealt(points, sizes, centroids, probes))
         placed = _placed(dealt, shard)
         lists = cut(_graphs(placed))
-        found = cut(_found(placed, lists, radius, beam))
-        recall = _audit(points, dealt, found, radius, audit)
-        if recall >= goal or probes >= most and beam >= 8 * BEAM:
+        found = cut(_found(placed, lists, radius, beam, exact))
+        audited = _audit(points, sizes, found, radius, audit)
+        least = audited.agg(F.min("recall")).first()[0]
+        if exact or least is None or least >= goal:
             break
-        release(dealt), release(lists), release(found)
-        probes, beam = min(most, 2 * probes), 2 * beam
+        release(dealt), release(lists), release(found), release(audited)
+        exact = probes >= most and beam >= 8 * BEAM
+        probes, beam = (most, beam) if exact else (min(most, 2 * probes), 2 * beam)
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("far"))
     comp = components(found.where("kind = 1").select("a", "b"))
     p = points.select("id", "label", "dims", "digest", "weight", "least")
     p = p.join(counts, F.col("id") == F.col("a"), "left").join(comp, F.col("id") == F.col("node"), "left")
-    p = cut(p.select("digest", "least", (F.col("weight") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root")))
+    p = p.join(audited, ["label", "dims"], "left")
+    p = cut(p.select("digest", "least", "recall", (F.col("weight") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root")))
     named = cut(p.groupBy("root").agg(F.min("least").alias("component_id")))
-    p = cut(p.join(named, "root").select(F.col("digest").alias("of"), "n_links", "component_id"))
+    p = cut(p.join(named, "root").select(F.col("digest").alias("of"), "n_links", "component_id", "recall"))
     j = rows.select("vec_id", "digest").join(p, F.col("digest") == F.col("of"), "left")
     component = F.when(F.col("of").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return j.select(
@@ -385,7 +389,7 @@ def embedding_groups(vectors: DataFrame, radius: float = COSINE, shard: int = SH
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.cast("long").alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
-        F.lit(float(recall)).alias("recall"),
+        "recall",
     )
 
 
