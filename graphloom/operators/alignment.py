@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -156,3 +157,42 @@ def align(
             yield pd.DataFrame(out, columns=["pair_id", "distance", "path", "accumulated", "local_cost"])
 
     return pairs.mapInPandas(of, _OUT)
+
+
+MEMORY = ("none", "two_rows", "full")
+
+
+def is_finite(distance: Column) -> Column:
+    """Did an alignment find a way inside its window?"""
+    return ~(distance.isNull() | F.isnan(distance) | (distance == INF))
+
+
+@dataclass(frozen=True)
+class Options:
+    """What one pair's alignment takes; a path needs the full table in memory."""
+
+    window: int | None = None
+    penalty: float = 0.0
+    path: bool = False
+    memory: str = "two_rows"
+
+    def validate(self) -> Options:
+        _checked(self.window, self.penalty)
+        if self.memory not in MEMORY:
+            raise NumericPolicyError("memory mode")
+        if self.path and self.memory != "full":
+            raise NumericPolicyError("a path needs the full table")
+        return self
+
+
+def dtw(a: list[float], b: list[float], options: Options = Options()) -> tuple[float, list[tuple[int, int]] | None]:
+    """(distance, path or None) of one pair on the driver, by absolute differences."""
+    o = options.validate()
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    if not len(x) or not len(y):
+        raise ShapeError("an empty series")
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        raise NumericPolicyError("NaN or infinity")
+    cost = np.abs(x[:, None] - y[None, :])
+    d = table_of(cost, o.window, o.penalty)
+    return float(d[-1, -1]), path_of(d, cost, o.penalty) if o.path else None

@@ -8,14 +8,15 @@ instance has to fit into one executor's memory.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.iterate import cut
-from .errors import CycleError, GraphInputError
+from ..plans.iterate import Scratch, cut, release
+from .errors import CycleError, GraphInputError, TraversalStopped
 from .graph import PropertyGraph
 from .kernels import flows, tours, walks
 
@@ -31,36 +32,80 @@ def _rows(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return e.unionByName(v)
 
 
-def _split(p: pd.DataFrame) -> tuple[list[str], list[tuple[str, str, str, bool]]]:
-    e = p[p.dst.notna()]
-    edges = sorted(zip(e.edge_id, e.src, e.dst, e.directed.astype(bool), strict=True))
-    return sorted(set(p.src) | set(e.dst)), edges
+def _kernel(edges: DataFrame, vertices: DataFrame, of: Callable, schema: str) -> DataFrame:
+    """Rows that of(graph_id, vertices, edges) gives for every graph.
+
+    Graphs lie sorted in their partitions and are taken off as they come, so
+    thousands of small ones cost one Arrow call and not one each.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    rows = _rows(edges, vertices).repartition("graph_id").sortWithinPartitions("graph_id")
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=names)
+
+    def run(batches):
+        gid, vs, es, out = None, set(), [], []
+
+        def flush():
+            return of(gid, sorted(vs), sorted(es)) if gid is not None else []
+
+        for b in batches:
+            for g, e, s, d, directed in zip(b.graph_id, b.edge_id, b.src, b.dst, b.directed, strict=True):
+                if g != gid:
+                    out += flush()
+                    gid, vs, es = g, set(), []
+                vs.add(s)
+                if d is not None:
+                    vs.add(d)
+                    es.append((e, s, d, bool(directed)))
+            if out:
+                yield frame(out)
+                out = []
+        out = flush()
+        if out:
+            yield frame(out)
+
+    return rows.mapInPandas(run, schema)
 
 
 def depth_first(
-    edges: DataFrame, vertices: DataFrame, start: str | None = None, full: bool = False, max_depth: int = -1, keep: Callable[[str], bool] | None = None
+    edges: DataFrame,
+    vertices: DataFrame,
+    start: str | None = None,
+    full: bool = False,
+    max_depth: int = -1,
+    keep: Callable[[str], bool] | None = None,
+    on_visit: Callable[[str, int], None] | None = None,
+    on_exit: Callable[[str, int], None] | None = None,
+    cancelled: Callable[[], bool] | None = None,
 ) -> DataFrame:
-    """(graph_id, id, pre_ord, finish_ord, depth, parent, skipped); neighbours by edge ID, start None: a forest."""
+    """(graph_id, id, pre_ord, finish_ord, depth, parent, skipped); neighbours by edge ID, start None: a forest.
+
+    The hooks run beside the kernel; where they stop it, or it is cancelled,
+    the vertices finished so far are the rows.
+    """
     if max_depth < -1:
         raise GraphInputError("depth limit")
 
-    def of(p: pd.DataFrame) -> pd.DataFrame:
-        vs, es = _split(p)
-        pre, post, depth, parent, skipped = walks.dfs(walks.arcs_of(vs, es), start, full or start is None, max_depth, keep)
+    def of(gid, vs, es):
+        try:
+            pre, post, depth, parent, skipped = walks.dfs(walks.arcs_of(vs, es), start, full or start is None, max_depth, keep, on_visit, on_exit, cancelled)
+        except TraversalStopped as e:
+            pre, post, depth, parent, skipped = e.partial
         rank = {v: i for i, v in enumerate(pre)}
-        return pd.DataFrame([(p.graph_id.iloc[0], v, rank[v], i, depth[v], parent[v], skipped) for i, v in enumerate(post)], columns=["graph_id", "id", "pre_ord", "finish_ord", "depth", "parent", "skipped"])
+        return [(gid, v, rank[v], i, depth[v], parent[v], skipped) for i, v in enumerate(post)]
 
-    return _rows(edges, vertices).groupBy("graph_id").applyInPandas(of, "graph_id string, id string, pre_ord long, finish_ord long, depth int, parent string, skipped long")
+    return _kernel(edges, vertices, of, "graph_id string, id string, pre_ord long, finish_ord long, depth int, parent string, skipped long")
 
 
 def detect_cycles(edges: DataFrame, vertices: DataFrame, directed: bool = False, loops: bool = True) -> DataFrame:
     """(graph_id, cycle): canonical witnesses of back edges; a graph without cycles has no row."""
 
-    def of(p: pd.DataFrame) -> pd.DataFrame:
-        vs, es = _split(p)
-        return pd.DataFrame([(p.graph_id.iloc[0], c) for c in walks.cycles(vs, es, directed, loops)], columns=["graph_id", "cycle"])
+    def of(gid, vs, es):
+        return [(gid, c) for c in walks.cycles(vs, es, directed, loops)]
 
-    return _rows(edges, vertices).groupBy("graph_id").applyInPandas(of, "graph_id string, cycle array<string>")
+    return _kernel(edges, vertices, of, "graph_id string, cycle array<string>")
 
 
 def has_cycle(g: PropertyGraph) -> bool:
@@ -70,56 +115,74 @@ def has_cycle(g: PropertyGraph) -> bool:
 def topological_sort(edges: DataFrame, vertices: DataFrame, strict: bool = True) -> DataFrame:
     """(graph_id, ord, id): reverse finish order; a cycle raises, or, not strict, gives one row with ord -1."""
 
-    def of(p: pd.DataFrame) -> pd.DataFrame:
-        vs, es = _split(p)
-        gid = p.graph_id.iloc[0]
+    def of(gid, vs, es):
         try:
             order = walks.topological_order(vs, es)
         except CycleError as e:
             if strict:
                 raise
-            return pd.DataFrame([(gid, -1, str(e))], columns=["graph_id", "ord", "id"])
-        return pd.DataFrame([(gid, i, v) for i, v in enumerate(order)], columns=["graph_id", "ord", "id"])
+            return [(gid, -1, str(e))]
+        return [(gid, i, v) for i, v in enumerate(order)]
 
-    return _rows(edges, vertices).groupBy("graph_id").applyInPandas(of, "graph_id string, ord long, id string")
+    return _kernel(edges, vertices, of, "graph_id string, ord long, id string")
 
 
-def topological_levels(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, level): rounds in which vertices lose their last incoming arc; for DAGs too large for one task."""
-    left = cut(arcs.select("src", "dst").where("src <> dst").distinct())
-    nodes = cut(vertices.select("id"))
-    out, level = None, 0
+def topological_levels(arcs: DataFrame, vertices: DataFrame, cancelled: Callable[[], bool] | None = None) -> DataFrame:
+    """(id, level): rounds in which vertices lose their last incoming arc; for DAGs too large for one task.
+
+    cancelled is asked before every round and ends them by an error.
+    """
+    own = Scratch()
+    left = own.cut(arcs.select("src", "dst").where("src <> dst").distinct())
+    nodes = own.cut(vertices.select("id"))
+    levels: list[DataFrame] = []
     while nodes.limit(1).count():
-        free = cut(nodes.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)))
+        if cancelled and cancelled():
+            raise TraversalStopped("cancelled", levels)
+        free = cut(nodes.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(len(levels))))
         if not free.limit(1).count():
             raise CycleError("cycle")
-        out = free if out is None else out.unionByName(free)
-        nodes = cut(nodes.join(free, "id", "left_anti"))
-        left = cut(left.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
-        level += 1
-    return out if out is not None else vertices.select("id").limit(0).withColumn("level", F.lit(0))
+        levels.append(free)
+        nodes = own.cut(nodes.join(free, "id", "left_anti"))
+        left = own.cut(left.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+        own.keep(nodes, left)
+    own.keep()
+    if not levels:
+        return vertices.select("id").limit(0).withColumn("level", F.lit(0))
+    out = cut(reduce(DataFrame.unionByName, levels))
+    release(*levels)
+    return out
 
 
-_FLOW = "graph_id string, value double, augmentations long, capped boolean, source_side array<string>, sink_side array<string>, residual array<struct<src: string, dst: string, capacity: double>>"
+_FLOW = "graph_id string, value double, augmentations long, capped boolean, source_side array<string>, sink_side array<string>, residual array<struct<src: string, dst: string, capacity: double>>, events array<struct<n: long, path: array<string>, flow: double>>"
 
 
 def max_flow(
-    edges: DataFrame, vertices: DataFrame, source: str, sink: str, algorithm: str = "dinic", eps: float = 1e-9, level_rebuild: int = 0, max_augmentations: int = 0
+    edges: DataFrame, vertices: DataFrame, source: str, sink: str, algorithm: str = "dinic", eps: float = 1e-9, level_rebuild: int = 0, max_augmentations: int = 0, observe: bool = False, cancelled: Callable[[], bool] | None = None
 ) -> DataFrame:
-    """One row per network: value, cut sides and residual arcs; weights are capacities."""
+    """One row per network: value, cut sides, residual arcs and, if observed, every augmentation; weights are capacities."""
     if algorithm not in flows.ALGORITHMS:
         raise GraphInputError(algorithm)
 
     def of(p: pd.DataFrame) -> pd.DataFrame:
         e = p[p.dst.notna()]
         vs = sorted(set(p.src) | set(e.dst))
-        r = flows.max_flow(vs, list(zip(e.src, e.dst, e.weight, e.directed.astype(bool), strict=True)), source, sink, algorithm, eps, level_rebuild, max_augmentations)
+        events: list[dict] = []
+        seen = (lambda n, path, f: events.append({"n": n, "path": path, "flow": f})) if observe else None
+        r = flows.max_flow(vs, list(zip(e.src, e.dst, e.weight, e.directed.astype(bool), strict=True)), source, sink, algorithm, eps, level_rebuild, max_augmentations, seen, cancelled)
         residual = [dict(zip(("src", "dst", "capacity"), x, strict=True)) for x in r["residual"]]
-        return pd.DataFrame([(p.graph_id.iloc[0], r["value"], r["augmentations"], r["capped"], r["source_side"], r["sink_side"], residual)], columns=["graph_id", "value", "augmentations", "capped", "source_side", "sink_side", "residual"])
+        return pd.DataFrame([(p.graph_id.iloc[0], r["value"], r["augmentations"], r["capped"], r["source_side"], r["sink_side"], residual, events)], columns=["graph_id", "value", "augmentations", "capped", "source_side", "sink_side", "residual", "events"])
 
     return _rows(edges, vertices).groupBy("graph_id").applyInPandas(of, _FLOW)
 
 
+def residual_graph(flow: DataFrame, graph_id: str = "g") -> PropertyGraph:
+    """What one network's flow leaves of its capacities, as a directed weighted graph."""
+    arcs = flow.where(F.col("graph_id") == graph_id).select(F.explode("residual").alias("r")).select("r.src", "r.dst", F.col("r.capacity").alias("weight"))
+    sides = flow.where(F.col("graph_id") == graph_id).select(F.explode(F.concat("source_side", "sink_side")).alias("id"))
+    return PropertyGraph.from_edges(arcs, sides, check=False, directed=True, weighted=True)
+
+
 def capacity_matrix(g: PropertyGraph, eps: float = 1e-9) -> DataFrame:
     """(src, dst, capacity): parallel arcs summed, undirected edges both ways, loops left out."""
     return g.arcs().where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("capacity")).where(F.col("capacity") > eps)

@@ -81,11 +81,14 @@ def max_flow(
     level_rebuild: int = 0,
     max_augmentations: int = 0,
     observer: Callable[[int, list[str] | None, float], None] | None = None,
+    cancelled: Callable[[], bool] | None = None,
 ) -> dict:
     """edges: (src, dst, capacity, directed).  Returns value, augmentations, source_side, sink_side, residual, capped.
 
     max_augmentations bounds Ford-Fulkerson only; ``capped`` says that it did,
-    and then there is no cut.
+    and then there is no cut.  observer gets every augmentation as (number,
+    path or None under dinic, flow).  cancelled is asked before each and ends
+    the search like a cap, with the flow so far.
     """
     if algorithm not in ALGORITHMS:
         raise GraphInputError(algorithm)
@@ -106,13 +109,16 @@ def max_flow(
             observer(count, None if path is None else [r.names[s], *(r.names[r.head[a]] for a in path)], f)
 
     if algorithm == "dinic":
-        while True:
+        while not capped:
             level = _levels(r, s, eps)
             if level[t] < 0:
                 break
             nxt = [0] * len(r.names)
             since = 0
             while True:
+                if cancelled and cancelled():
+                    capped = True
+                    break
                 # One augmenting path by current arcs, without recursion.
                 path: list[int] = []
                 v = s
@@ -142,6 +148,9 @@ def max_flow(
     else:
         deep = algorithm == "ford_fulkerson"
         while True:
+            if cancelled and cancelled():
+                capped = True
+                break
             if deep and max_augmentations and count >= max_augmentations:
                 capped = _path(r, s, t, eps, deep) is not None
                 break

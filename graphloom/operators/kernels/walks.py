@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ..errors import CycleError, NotFoundError
+from ..errors import CycleError, NotFoundError, TraversalStopped
 
 Arcs = dict[str, list[tuple[str, str]]]
 
@@ -21,19 +21,45 @@ def arcs_of(vertices: list[str], edges: list[tuple[str, str, str, bool]]) -> Arc
     return out
 
 
-def dfs(arcs: Arcs, start: str | None, full: bool = False, max_depth: int = -1, keep: Callable[[str], bool] | None = None):
-    """(pre-order, finish order, depth, parent, skipped); start None or full: every vertex in ID order."""
+def dfs(
+    arcs: Arcs,
+    start: str | None,
+    full: bool = False,
+    max_depth: int = -1,
+    keep: Callable[[str], bool] | None = None,
+    on_visit: Callable[[str, int], None] | None = None,
+    on_exit: Callable[[str, int], None] | None = None,
+    cancelled: Callable[[], bool] | None = None,
+):
+    """(pre-order, finish order, depth, parent, skipped); start None or full: every vertex in ID order.
+
+    on_visit and on_exit get (vertex, depth) as it is met and finished.  What
+    they raise stops the walk, as does cancelled, asked at every vertex; the
+    error's ``partial`` is what has been walked, without finish order if it
+    was cancelled.
+    """
     if not full and start not in arcs:
         raise NotFoundError(str(start))
     pre, post = [], []
     depth: dict[str, int] = {}
     parent: dict[str, str | None] = {}
     skipped = 0
+
+    def told(hook, v: str) -> None:
+        if cancelled and cancelled():
+            raise TraversalStopped("cancelled", (pre, [], depth, parent, skipped))
+        if hook:
+            try:
+                hook(v, depth[v])
+            except Exception as e:
+                raise TraversalStopped(str(e), (pre, post, depth, parent, skipped)) from e
+
     for root in sorted(arcs) if full else [start]:
         if root in depth:
             continue
         depth[root], parent[root] = 0, None
         pre.append(root)
+        told(on_visit, root)
         stack = [(root, iter(arcs[root]))]
         while stack:
             v, it = stack[-1]
@@ -45,9 +71,11 @@ def dfs(arcs: Arcs, start: str | None, full: bool = False, max_depth: int = -1,
                     continue
                 depth[w], parent[w] = depth[v] + 1, v
                 pre.append(w)
+                told(on_visit, w)
                 stack.append((w, iter(arcs[w])))
                 break
             else:
+                told(on_exit, v)
                 post.append(v)
                 stack.pop()
     return pre, post, depth, parent, skipped
@@ -125,7 +153,7 @@ def cycles(vertices: list[str], edges: list[tuple[str, str, str, bool]], directe
     return [found[k] for k in sorted(found)]
 
 
-def topological_order(vertices: list[str], edges: list[tuple[str, str, str, bool]]) -> list[str]:
+def topological_order(vertices: list[str], edges: list[tuple[str, str, str, bool]], cancelled: Callable[[], bool] | None = None) -> list[str]:
     """Reverse finish order over directed edges, vertices and edges in ID order; undirected ones are passed over."""
     arcs = arcs_of(vertices, [e for e in edges if e[3]])
     state: dict[str, int] = {}
@@ -133,6 +161,8 @@ def topological_order(vertices: list[str], edges: list[tuple[str, str, str, bool
     for root in sorted(arcs):
         if root in state:
             continue
+        if cancelled and cancelled():
+            raise TraversalStopped("cancelled", None)
         state[root] = 1
         stack = [(root, iter(arcs[root]))]
         while stack:

@@ -7,7 +7,8 @@ unless the encoding says that they are +inf (distance encoding).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,19 @@ class Matrix:
     cells: DataFrame
     rows: int
     cols: int
+    allow_non_finite: bool = False  # the numeric policy, which set() follows
 
     def __post_init__(self):
         if self.rows < 0 or self.cols < 0:
             raise ShapeError("negative dimensions")
 
+    def with_policy(self, allow_non_finite: bool) -> Matrix:
+        return replace(self, allow_non_finite=allow_non_finite)
+
     # -- construction ---------------------------------------------------------
     @classmethod
-    def zeros(cls, spark: SparkSession, rows: int, cols: int) -> Matrix:
-        return cls(spark.createDataFrame([], COO), rows, cols)
+    def zeros(cls, spark: SparkSession, rows: int, cols: int, allow_non_finite: bool = False) -> Matrix:
+        return cls(spark.createDataFrame([], COO), rows, cols, allow_non_finite)
 
     @classmethod
     def identity(cls, spark: SparkSession, n: int) -> Matrix:
@@ -53,7 +58,7 @@ class Matrix:
             raise ShapeError("ragged rows")
         if not allow_non_finite and any(not math.isfinite(x) for r in values for x in r):
             raise NumericPolicyError("NaN or infinity")
-        return cls(spark.createDataFrame([(i, j, float(x)) for i, r in enumerate(values) for j, x in enumerate(r)], COO), len(values), cols.pop())
+        return cls(spark.createDataFrame([(i, j, float(x)) for i, r in enumerate(values) for j, x in enumerate(r)], COO), len(values), cols.pop(), allow_non_finite)
 
     @classmethod
     def fill(cls, spark: SparkSession, rows: int, cols: int, data: list[float]) -> Matrix:
@@ -142,10 +147,10 @@ class Matrix:
 
     def set(self, i: int, j: int, v: float, allow_non_finite: bool = False) -> Matrix:
         self._inside(i, j)
-        if not allow_non_finite and not math.isfinite(v):
+        if not (allow_non_finite or self.allow_non_finite) and not math.isfinite(v):
             raise NumericPolicyError("NaN or infinity")
         rest = self.cells.where(~((F.col("i") == i) & (F.col("j") == j)))
-        return Matrix(rest.unionByName(self.cells.sparkSession.createDataFrame([(i, j, float(v))], COO)), *self.shape)
+        return Matrix(rest.unionByName(self.cells.sparkSession.createDataFrame([(i, j, float(v))], COO)), *self.shape, self.allow_non_finite)
 
     def _inside(self, i: int, j: int) -> None:
         if not (0 <= i < self.rows and 0 <= j < self.cols):
@@ -160,12 +165,12 @@ class Matrix:
         c = s.createDataFrame(list(enumerate(cols)), "nj int, j int")
         return Matrix(self.cells.join(r, "i").join(c, "j").select(F.col("ni").alias("i"), F.col("nj").alias("j"), "v"), len(rows), len(cols))
 
-    def view(self, r0: int, c0: int, rows: int, cols: int) -> Matrix:
-        """A read-only window."""
+    def view(self, r0: int, c0: int, rows: int, cols: int) -> View:
+        """A window; what is set in it is set in the matrix it gives back."""
         if r0 < 0 or c0 < 0 or rows < 0 or cols < 0 or r0 + rows > self.rows or c0 + cols > self.cols:
             raise ShapeError("outside")
         w = self.cells.where(F.col("i").between(r0, r0 + rows - 1) & F.col("j").between(c0, c0 + cols - 1))
-        return Matrix(w.select((F.col("i") - r0).alias("i"), (F.col("j") - c0).alias("j"), "v"), rows, cols)
+        return View(w.select((F.col("i") - r0).alias("i"), (F.col("j") - c0).alias("j"), "v"), rows, cols, self.allow_non_finite, self, r0, c0)
 
     def do(self, f) -> None:
         """f(i, j, v) in row-major order until it returns False; cells stream to the driver."""
@@ -318,6 +323,34 @@ class Matrix:
         return self._kernel(dense.jacobi, tol, max_iter)
 
 
+@dataclass
+class View(Matrix):
+    """A window on a matrix from (r0, c0)."""
+
+    parent: Matrix | None = None
+    r0: int = 0
+    c0: int = 0
+
+    def set(self, i: int, j: int, v: float, allow_non_finite: bool = False) -> View:
+        """The window on the changed matrix, which is its ``parent``."""
+        self._inside(i, j)
+        return self.parent.set(self.r0 + i, self.c0 + j, v, allow_non_finite).view(self.r0, self.c0, self.rows, self.cols)
+
+
+def need(m: Matrix | None) -> Matrix:
+    """The matrix, which has to be one."""
+    if m is None or m.cells is None:
+        raise GraphInputError("no matrix")
+    return m
+
+
+def need_length(x, n: int) -> None:
+    """A vector of n numbers: a sequence, or a frame of rows."""
+    size = x.count() if isinstance(x, DataFrame) else None if x is None else len(x)
+    if size != n:
+        raise ShapeError(f"a vector of {size}, not {n}")
+
+
 def finite(c: str) -> Column:
     return ~(F.isnan(c) | F.col(c).isin(INF, -INF))
 
@@ -365,6 +398,22 @@ class Adjacency:
             raise ShapeError("index and matrix differ")
         return n
 
+    def validate(self) -> Adjacency:
+        """Square, numbered without gaps, no NaN, and symmetric where undirected."""
+        need(self.matrix).need_square()
+        n = self.vertex_count()
+        ix = self.index.agg(F.count_distinct("idx").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count_distinct("id").alias("ids")).first()
+        if n and (ix["n"], ix["lo"], ix["hi"], ix["ids"]) != (n, 0, n - 1, n):
+            raise ShapeError("the index does not number the rows")
+        if self.matrix.cells.where("isnan(v)").limit(1).count():
+            raise NumericPolicyError("NaN")
+        if not self.options.directed:
+            c = self.matrix.cells
+            o = c.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("v").alias("w"))
+            if c.join(o, ["i", "j"], "left").where("w is null or v <> w").limit(1).count():
+                raise NumericPolicyError("not symmetric")
+        return self
+
     def neighbors(self, vid: str) -> DataFrame:
         at = self.index.where(F.col("id") == vid).limit(1).collect()
         if not at:
@@ -428,7 +477,35 @@ def adjacency(g: PropertyGraph, options: MatrixOptions = MatrixOptions()) -> Adj
     return metric_closure(out) if options.metric_closure else out
 
 
-def incidence(g: PropertyGraph, options: MatrixOptions = MatrixOptions()) -> tuple[Matrix, DataFrame, DataFrame]:
+class Incidence(NamedTuple):
+    """(matrix, vertices (idx, id), columns (idx, edge_id, src, dst))."""
+
+    matrix: Matrix
+    index: DataFrame
+    columns: DataFrame
+
+    def vertex_count(self) -> int:
+        return self.matrix.rows
+
+    def edge_count(self) -> int:
+        return self.matrix.cols
+
+    def vertex_incidence(self, vid: str) -> DataFrame:
+        """(j, v): a vertex's row, every column in it."""
+        at = self.index.where(F.col("id") == vid).limit(1).collect()
+        if not at:
+            raise NotFoundError(vid)
+        row = self.matrix.cells.where(F.col("i") == at[0]["idx"]).select("j", "v")
+        return self.columns.select(F.col("idx").alias("j")).join(row, "j", "left").select("j", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+    def edge_endpoints(self, j: int) -> tuple[str, str]:
+        got = self.columns.where(F.col("idx") == j).limit(1).collect()
+        if not got:
+            raise ShapeError("outside")
+        return got[0]["src"], got[0]["dst"]
+
+
+def incidence(g: PropertyGraph, options: MatrixOptions = MatrixOptions()) -> Incidence:
     """(matrix, vertices (idx, id), columns (idx, edge_id, src, dst)).
 
     Directed: -1 at the source, +1 at the target, loops left out; undirected:
@@ -444,7 +521,7 @@ def incidence(g: PropertyGraph, options: MatrixOptions = MatrixOptions()) -> tup
     cols = numbered(e.select("edge_id", "src", "dst"), "edge_id", name="idx").select(F.col("idx").cast("int").alias("idx"), "edge_id", "src", "dst")
     ends = cols.select(F.col("idx").alias("j"), F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(-1.0 if options.directed else 1.0).alias("v")), F.struct(F.col("dst").alias("id"), F.lit(1.0).alias("v")))).alias("x")).select("j", "x.id", "x.v")
     cells = ends.join(index, "id").groupBy(F.col("idx").alias("i"), "j").agg(F.sum("v").alias("v"))
-    return Matrix(cells, index.count(), cols.count()), index, cols
+    return Incidence(Matrix(cells, index.count(), cols.count()), index, cols)
 
 
 def init_distances(a: Adjacency) -> Matrix:

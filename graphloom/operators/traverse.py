@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.iterate import components as contract
-from ..plans.iterate import cut, first_by, numbered
+from ..plans.iterate import Scratch, cut, first_by, numbered
 from .errors import GraphInputError, LimitError, NotFoundError, NumericPolicyError, TraversalStopped, UnreachableError
 from .graph import PropertyGraph
 
 
+Hook = Callable[[str, int], None]
+
+
 @dataclass
 class BFSResult:
     """visited (id, ord, depth, parent), the start, and how many neighbours the filter turned away."""
@@ -63,6 +66,10 @@ def bfs(
     keep: Column | None = None,
     full: bool = False,
     on_level: Callable[[int, DataFrame], None] | None = None,
+    on_enqueue: Hook | None = None,
+    on_dequeue: Hook | None = None,
+    on_visit: Hook | None = None,
+    cancelled: Callable[[], bool] | None = None,
 ) -> BFSResult:
     """Hop by hop from start; neighbours in the order of their IDs, as a queue would take them.
 
@@ -70,6 +77,11 @@ def bfs(
     as visited; pairs that fail are counted.  max_depth is inclusive, -1 means
     no limit.  full restarts from the least unvisited vertex until none is
     left.  on_level gets every level's frame and may raise to stop.
+
+    on_enqueue, on_dequeue and on_visit get (id, depth) of every vertex in the
+    order in which a queue would meet them: a level is streamed to the driver
+    for them once its neighbours are known.  What they raise stops the
+    traversal, as does cancelled, which is asked before every level.
     """
     if g.caps.weighted:
         raise GraphInputError("a weighted graph; use its unweighted view")
@@ -84,6 +96,26 @@ def bfs(
     visited = spark.createDataFrame([], schema)
     skipped = total = 0
     root: str | None = start
+
+    def stopped(e: Exception, levels: list[DataFrame]) -> TraversalStopped:
+        return TraversalStopped(str(e), BFSResult(_union([visited, *levels]), start, skipped))
+
+    def told(level: DataFrame, new: DataFrame | None, depth: int) -> None:
+        if not (on_enqueue or on_dequeue or on_visit):
+            return
+        found: dict[str, list[str]] = {}
+        for r in new.orderBy("ord").toLocalIterator() if new is not None and on_enqueue else ():
+            found.setdefault(r["parent"], []).append(r["id"])
+        for r in level.orderBy("ord").toLocalIterator():
+            if on_enqueue and r["depth"] == 0:
+                on_enqueue(r["id"], 0)
+            if on_dequeue:
+                on_dequeue(r["id"], depth)
+            if on_visit:
+                on_visit(r["id"], depth)
+            for x in found.get(r["id"], ()):
+                on_enqueue(x, depth + 1)
+
     while root is not None:
         frontier = spark.createDataFrame([(root, total, 0, None)], schema)
         levels = [frontier]
@@ -91,12 +123,18 @@ def bfs(
         depth = 0
         seen = visited.select("id").unionByName(frontier.select("id"))
         while True:
+            if cancelled and cancelled():
+                raise stopped(LimitError("cancelled"), levels)
             if on_level:
                 try:
                     on_level(depth, frontier)
                 except Exception as e:
-                    raise TraversalStopped(str(e), BFSResult(_union([visited, *levels]), start, skipped)) from e
+                    raise stopped(e, levels) from e
             if 0 <= max_depth <= depth:
+                try:
+                    told(frontier, None, depth)
+                except Exception as e:
+                    raise stopped(e, levels) from e
                 break
             step = frontier.select(F.col("id").alias("curr"), F.col("ord").alias("rank")).join(arcs, "curr")
             if keep is not None:
@@ -110,6 +148,10 @@ def bfs(
             level = numbered(new, "rank", "id", start=total)
             level = cut(level.select("id", "ord", F.lit(depth).alias("depth"), "parent"))
             n = level.count()
+            try:
+                told(frontier, level, depth - 1)
+            except Exception as e:
+                raise stopped(e, levels) from e
             if not n:
                 break
             total += n
@@ -119,8 +161,17 @@ def bfs(
         visited = cut(_union([visited, *levels]))
         root = None
         if full:
-            left = g.vertices.select("id").join(visited.select("id"), "id", "left_anti").agg(F.min("id")).first()[0]
-            root = left
+            left = cut(g.vertices.select("id").join(visited.select("id"), "id", "left_anti"))
+            # Vertices without a way out that come before the next with one are roots of their own: all at once.
+            busy = left.join(arcs.select(F.col("curr").alias("id")).distinct(), "id", "left_semi").agg(F.min("id")).first()[0]
+            alone = left if busy is None else left.where(F.col("id") < busy)
+            if not (on_level or on_enqueue or on_dequeue or on_visit):
+                more = numbered(alone, "id", start=total)
+                visited = cut(visited.unionByName(more.select("id", "ord", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))))
+                total = visited.count()
+                root = busy
+            else:
+                root = left.agg(F.min("id")).first()[0]
     return BFSResult(visited, start, skipped)
 
 
@@ -133,17 +184,20 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def hop_depths(arcs: DataFrame, start: DataFrame, max_depth: int = -1) -> DataFrame:
     """(id, depth) from all of start (id) over arcs (src, dst): the order-free form of a traversal."""
-    seen = cut(start.select("id").distinct().withColumn("depth", F.lit(0)))
+    own = Scratch()
+    seen = own.cut(start.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
-    arcs = cut(arcs.select("src", "dst").distinct())
+    arcs = own.cut(arcs.select("src", "dst").distinct())
     while max_depth < 0 or depth < max_depth:
         depth += 1
         new = frontier.join(arcs, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        new = cut(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        new = own.cut(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if not new.limit(1).count():
             break
-        seen = cut(seen.unionByName(new))
+        seen = own.cut(seen.unionByName(new))
         frontier = new
+        own.keep(seen, new, arcs)
+    own.keep(seen)
     return seen
 
 
@@ -189,6 +243,7 @@ def shortest_paths(
     max_distance: float = math.inf,
     wall: float = math.inf,
     max_rounds: int | None = None,
+    cancelled: Callable[[], bool] | None = None,
 ) -> SSSPResult:
     """Distances from source over non-negative weights, by rounds of strict improvement.
 
@@ -210,32 +265,37 @@ def shortest_paths(
     arcs = g.arcs().groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     if math.isfinite(wall):
         arcs = arcs.where(F.col("weight") < wall)
-    arcs = cut(arcs.repartition("src"))
-    best = cut(g.spark.createDataFrame([(source, 0.0)], "id string, dist double"))
+    own = Scratch()
+    arcs = own.cut(arcs.repartition("src"))
+    best = own.cut(g.spark.createDataFrame([(source, 0.0)], "id string, dist double"))
     frontier, rounds = best, 0
     while True:
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise LimitError(f"{max_rounds} rounds")
+        if cancelled and cancelled():
+            raise LimitError("cancelled")
         cand = frontier.join(arcs, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("cand"))
         if math.isfinite(max_distance):
             cand = cand.where(F.col("cand") <= max_distance)
         cand = cand.groupBy("id").agg(F.min("cand").alias("cand"))
-        better = cut(cand.join(best, "id", "left").where("dist is null or cand < dist").select("id", F.col("cand").alias("dist")))
+        better = own.cut(cand.join(best, "id", "left").where("dist is null or cand < dist").select("id", F.col("cand").alias("dist")))
         if not better.limit(1).count():
             break
-        best = cut(best.join(better, "id", "left_anti").unionByName(better))
+        best = own.cut(best.join(better, "id", "left_anti").unionByName(better))
         frontier = better
+        own.keep(arcs, best, better)
     if best.where("dist = double('infinity')").limit(1).count():
         raise NumericPolicyError("distance overflow")
-    dist = cut(g.vertices.select("id").join(best, "id", "left").select("id", F.coalesce("dist", F.lit(float("inf"))).alias("dist")))
+    dist = own.cut(g.vertices.select("id").join(best, "id", "left").select("id", F.coalesce("dist", F.lit(float("inf"))).alias("dist")))
     parents = None
     if track:
         tight = best.alias("b").join(arcs, F.col("b.id") == arcs["src"]).select(F.col("b.id").alias("u"), F.col("b.dist").alias("du"), "dst", "weight")
         tight = tight.join(best.select(F.col("id").alias("v"), F.col("dist").alias("dv")), F.col("dst") == F.col("v"))
         tight = tight.where((F.col("du") + F.col("weight") == F.col("dv")) & (F.col("v") != source) & (F.col("u") != F.col("v")))
         first = first_by(tight, ["v"], ["du", "u"]).select(F.col("v").alias("id"), F.col("u").alias("prev"))
-        parents = cut(g.vertices.select("id").join(first, "id", "left"))
+        parents = own.cut(g.vertices.select("id").join(first, "id", "left"))
+    own.keep(dist, parents)
     return SSSPResult(dist, source, parents)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import naming
 from ..operators.errors import GraphInputError
 from ..operators.graph import PropertyGraph
+from ..plans.iterate import running_sum
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,11 @@ class Options:
     right: str = "R"
     directed: bool = False
     weighted: bool = False
+    rand: random.Random | None = None  # where given, the seed is drawn from it
+
+    def __post_init__(self):
+        if self.rand is not None:
+            object.__setattr__(self, "seed", self.rand.randrange(1, 2**31))
 
 
 Shape = Callable[[SparkSession, Options], tuple[DataFrame, DataFrame]]
@@ -68,6 +74,17 @@ def build(spark: SparkSession, *shapes: Shape | None, caps: dict | None = None,
     return PropertyGraph.from_edges(e, v, check=False, **c)
 
 
+def extend(g: PropertyGraph, *shapes: Shape | None, **options) -> PropertyGraph:
+    """A graph with shapes added: vertices that are there already are shared, edge IDs go on from the graph's."""
+    if any(s is None for s in shapes):
+        raise GraphInputError("no shape")
+    o = Options(directed=g.caps.directed, weighted=g.caps.weighted, **options)
+    for s in shapes:
+        v, e = s(g.spark, o)
+        g = g.add_vertices(v).add_edges(e, check=False)
+    return g
+
+
 def path(n: int) -> Shape:
     _need(n, 2)
     return lambda spark, o: _framed(o, spark.range(n), spark.range(1, n).select((F.col("id") - 1).alias("a"), F.col("id").alias("b")))
@@ -258,20 +275,33 @@ def platonic_solid(name: str, with_center: bool = False) -> Shape:
     return make
 
 
-#: Ring size, step of the chords, hub.
-HEXAGRAMS = {"small": (6, 2, False), "medium": (8, 3, False), "big": (12, 4, True), "huge": (12, 5, True)}
+#: Ring size, hub, chords; a chord that the ring has already counts once.
+_OUTER = "0-1 1-3 3-4 4-5 5-7 7-8 8-9 9-11 11-0 2-3 3-5 5-6 6-7 7-9 9-10 10-11 11-1 1-2"
+HEXAGRAMS = {
+    "default": (6, False, "0-2 2-4 4-0 1-3 3-5 5-1"),
+    "medium": (8, False, "0-2 2-3 3-4 4-5 5-6 6-0 1-2 2-4 4-6 6-7 7-0 0-1"),
+    "big": (12, True, _OUTER),
+    "huge": (12, True, _OUTER + " 1-5 5-9 9-1 3-7 7-11 11-3"),
+}
 
 
 def hexagram(variant: str) -> Shape:
-    """A ring with chords of one step, and a hub for the larger ones."""
+    """A ring with chords, and a hub for the larger ones; a directed graph gets the chords both ways."""
     if variant not in HEXAGRAMS:
         raise GraphInputError(variant)
-    n, step, hub = HEXAGRAMS[variant]
+    n, hub, chords = HEXAGRAMS[variant]
+    pairs = [tuple(map(int, c.split("-"))) for c in chords.split()]
 
     def make(spark, o):
         v, e = (wheel if hub else cycle)(n)(spark, o)
-        chords = sorted({tuple(sorted((i, (i + step) % n))) for i in range(n)})
-        _, ce = _framed(o, spark.range(n), spark.createDataFrame(chords, "a long, b long"))
+        ring = {(i, (i + 1) % n) for i in range(n)}
+        new: list[tuple[int, int]] = []
+        for a, b in pairs:
+            for x, y in ((a, b), (b, a)) if o.directed else ((a, b),):
+                have = ring | set(new)
+                if (x, y) not in have and (o.directed or (y, x) not in have):
+                    new.append((x, y))
+        _, ce = _framed(o, spark.range(n), spark.createDataFrame(new, "a long, b long"))
         return v, e.unionByName(ce)
 
     return make
@@ -363,9 +393,7 @@ def ohlc_series(spark: SparkSession, days: int, seed: int = 1, start: float = 10
     t = t.withColumn("r", (mu - vol * vol / 2) * dt + vol * math.sqrt(dt) * z)
     inner = Window.partitionBy("day").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("within", F.sum("r").over(inner))
-    # One row a day stands in the running sum over days.
     per = t.groupBy("day").agg(F.sum("r").alias("total"), F.max("within").alias("hi"), F.min("within").alias("lo"))
-    base = F.coalesce(F.sum("total").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    d = per.withColumn("base", base)
+    d = running_sum(per, "day", "total", "base")
     price = lambda x: F.lit(start) * F.exp(x)
     return d.select("day", price(F.col("base")).alias("open"), price(F.col("base") + F.greatest("hi", F.lit(0.0))).alias("high"), price(F.col("base") + F.least("lo", F.lit(0.0))).alias("low"), price(F.col("base") + F.col("total")).alias("close"))

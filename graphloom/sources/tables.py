@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import PropertyGraph
+from ..plans.iterate import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def trade_graph(spark: SparkSession, sf_dir: str, directed: bool = True) -> Prop
     a = trade_arcs(spark, sf_dir).where("src <> dst")
     if not directed:
         a = a.groupBy(F.least("src", "dst").alias("s"), F.greatest("src", "dst").alias("d")).agg(F.sum("weight").alias("weight")).select(F.col("s").alias("src"), F.col("d").alias("dst"), "weight")
-    e = a.withColumn("edge_id", F.concat_ws("-", "src", "dst"))
+    e = cut(a.withColumn("edge_id", F.concat_ws("-", "src", "dst")))  # a few rows of a join of four tables, read again and again
     v = table(spark, sf_dir, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("id"))
     return PropertyGraph.from_edges(e, v, check=False, directed=directed, weighted=True)
 
@@ -40,7 +41,7 @@ def supply_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    a = supply_arcs(spark, sf_dir)
+    a = cut(supply_arcs(spark, sf_dir))
     e = a.select(F.col("s").alias("src"), F.col("p").alias("dst"), F.concat_ws("-", "s", "p").alias("edge_id"))
     return PropertyGraph.from_edges(e, check=False)
 
@@ -66,7 +67,7 @@ def session_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type").withColumn("nxt", F.lead("event_type").over(w)).where("nxt is not null")
     a = e.groupBy(F.col("event_type").alias("src"), F.col("nxt").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return PropertyGraph.from_edges(a.withColumn("edge_id", F.concat_ws(">", "src", "dst")), check=False, directed=True, weighted=True, loops=True)
+    return PropertyGraph.from_edges(cut(a.withColumn("edge_id", F.concat_ws(">", "src", "dst"))), check=False, directed=True, weighted=True, loops=True)
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
