@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
@@ -13,6 +13,7 @@ from ..operators import matrix as mx
 from ..operators.grid import Grid
 from ..sources import generators as gen
 from ..sources import tables as t
+from .iterate import cut, numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,7 +82,13 @@ def sssp_trade(spark, sf_dir):
     return traverse.shortest_paths(t.trade_graph(spark, sf_dir), "00").distances
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ARCS}, near(id, d, h) AS (
+  SELECT '00', 0.0::DOUBLE, 0 UNION SELECT id, min(d), h FROM (SELECT arcs.dst AS id, near.d + arcs.weight AS d, near.h + 1 AS h FROM near JOIN arcs ON near.id = arcs.src
+  WHERE near.h < 24 AND arcs.weight < 4000 AND near.d + arcs.weight <= 5000) GROUP BY id, h),
+best AS (SELECT id, min(d) AS dist FROM near GROUP BY id),
+par AS (SELECT y.id, x.id AS prev FROM best x JOIN arcs ON x.id = arcs.src AND arcs.weight < 4000 JOIN best y ON arcs.dst = y.id AND x.dist + arcs.weight = y.dist
+  WHERE y.id <> '00' QUALIFY row_number() OVER (PARTITION BY y.id ORDER BY x.dist, x.id) = 1)
+SELECT ids.id, coalesce(dist, 'infinity'::DOUBLE) AS dist, prev FROM ids LEFT JOIN best ON ids.id = best.id LEFT JOIN par ON ids.id = par.id""")
 def sssp_trade_paths(spark, sf_dir):
     """Distance and parent with a cutoff and a wall."""
     r = traverse.shortest_paths(t.trade_graph(spark, sf_dir), "00", track=True, max_distance=5000.0, wall=4000.0)
@@ -108,7 +115,7 @@ def toposort_chains(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS level, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
-SELECT CAST(level AS INTEGER) AS level, count(*) AS vertices FROM o WHERE n > 1 AND level < 3 GROUP BY 1""")
+SELECT CAST(level AS INTEGER) AS level, count(*) AS vertices FROM o WHERE n > 1 GROUP BY 1""")
 def toposort_levels(spark, sf_dir):
     """All levels of all chains together, by peeling."""
     e = t.order_chains(spark, sf_dir).where("true")
@@ -239,7 +246,7 @@ def gram_features(spark, sf_dir):
     return m.transpose().mul(m).cells.select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query(f"WITH {_M} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, least(greatest(v, -0.1), 0.1) AS v FROM m WHERE j < 4")
+@query(f"WITH {_M} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, least(greatest(v, -0.1), 0.1) AS v FROM m")
 def clip_features(spark, sf_dir):
     return _features(spark, sf_dir).clip(0.1, -0.1).cells
 
@@ -280,14 +287,33 @@ def tours_by_region(spark, sf_dir):
     return grouped.solve_tours(inst, algorithm="held_karp").select("instance_id", F.array_join("ids", ">").alias("tour"), "cost", "optimal")
 
 
-@query()
+def user_pairs(spark, sf_dir) -> DataFrame:
+    """(user_id, other, a, b): every user's series with the next user's."""
+    s = cut(t.series(spark, sf_dir))
+    at = numbered(s.select("user_id"), "user_id", name="k")
+    p = at.join(at.select((F.col("k") - 1).alias("k"), F.col("user_id").alias("other")), "k").select("user_id", "other")
+    return p.join(s, "user_id").join(s.select(F.col("user_id").alias("other"), F.col("a").alias("b")), "other")
+
+
+#: Anti-diagonals of the warping tables of all pairs at once, the last two at a time.
+_DTW = """z AS (SELECT user_id, list(CAST(round(value * 100) AS DOUBLE) ORDER BY ts, event_id) AS a, row_number() OVER (ORDER BY user_id) AS k FROM events GROUP BY user_id),
+pr AS (SELECT x.user_id, y.user_id AS other, x.a AS a, y.a AS b, len(x.a) AS n, len(y.a) AS m FROM z x JOIN z y ON y.k = x.k + 1),
+d(user_id, s, two, one, n, m) AS (
+  SELECT user_id, 1, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 'infinity'::DOUBLE END), list_transform(range(0, n + 1), lambda i: 'infinity'::DOUBLE), n, m FROM pr
+  UNION ALL
+  SELECT d.user_id, d.s + 1, d.one, list_transform(range(0, d.n + 1), lambda i: CASE WHEN i >= 1 AND d.s + 1 - i BETWEEN 1 AND d.m AND abs(2 * i - d.s - 1) <= BAND
+    THEN abs(pr.a[i] - pr.b[d.s + 1 - i]) + least(d.two[i], d.one[i] + PENALTY, d.one[i + 1] + PENALTY) ELSE 'infinity'::DOUBLE END), d.n, d.m
+  FROM d JOIN pr ON d.user_id = pr.user_id WHERE d.s < d.n + d.m)"""
+
+
+@query(f"""WITH RECURSIVE {_DTW.replace('BAND', '40').replace('PENALTY', '1.0')}
+SELECT d.user_id, pr.other, d.one[d.n + 1] AS distance FROM d JOIN pr ON d.user_id = pr.user_id WHERE d.s = d.n + d.m""")
 def dtw_users(spark, sf_dir):
-    """Every user's series against the next user's, all in the JVM."""
-    s = t.series(spark, sf_dir)
-    w = Window.orderBy("user_id")  # one narrow row per user
-    p = s.select("user_id").withColumn("other", F.lead("user_id").over(w)).where("other is not null")
-    j = p.join(s, "user_id").join(s.select(F.col("user_id").alias("other"), F.col("a").alias("b")), "other")
-    return j.select("user_id", "other", alignment.distance("a", "b", window=40, penalty=1.0).alias("distance"))
+    """Every user's series against the next user's, inside a band."""
+    j = user_pairs(spark, sf_dir)
+    r = alignment.align(j.select(F.concat_ws(",", "user_id", "other").alias("pair_id"), "a", "b"), window=40, penalty=1.0)
+    ids = F.split("pair_id", ",")
+    return r.select(ids[0].cast("long").alias("user_id"), ids[1].cast("long").alias("other"), "distance")
 
 
 # -- lattices ------------------------------------------------------------------------------
@@ -366,17 +392,25 @@ def _cells(spark, a, digits: int = 6) -> DataFrame:
     return spark.createDataFrame(rows, "i int, j int, v double").select("i", "j", (F.round("v", digits) + 0.0).alias("v"))
 
 
-@query(_GRAM)
+_GRAM_OK = _GRAM.replace("SELECT CAST(a.j", "SELECT true AS ok, CAST(a.j", 1)
+
+
+@query(_GRAM_OK)
 def lu_gram(spark, sf_dir):
-    """The product of both factors."""
+    """The product of both factors, and whether each cell is what a unit lower and an upper factor may hold there."""
     low, up = _gram(spark, sf_dir).lu()
-    return _cells(spark, low @ up)
+    n = len(low)
+    ok = [(i, j, bool((low[i, j] == (1.0 if i == j else 0.0) or i > j) and (up[i, j] == 0.0 or i <= j))) for i in range(n) for j in range(n)]
+    return _cells(spark, low @ up).join(spark.createDataFrame(ok, "i int, j int, ok boolean"), ["i", "j"])
 
 
-@query(_GRAM)
+@query(_GRAM_OK)
 def qr_gram(spark, sf_dir):
+    """The product, and whether Q is orthogonal and R upper triangular at each cell."""
     q, r = _gram(spark, sf_dir).qr()
-    return _cells(spark, q.T @ r)
+    n, unit = len(q), q.T @ q
+    ok = [(i, j, bool(abs(unit[i, j] - (i == j)) < 1e-9 and (i <= j or r[i, j] == 0.0))) for i in range(n) for j in range(n)]
+    return _cells(spark, q.T @ r).join(spark.createDataFrame(ok, "i int, j int, ok boolean"), ["i", "j"])
 
 
 @query("SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM (SELECT unnest(generate_series(0, 63)) AS a), (SELECT unnest(generate_series(0, 63)) AS b)")
@@ -385,11 +419,24 @@ def inverse_gram(spark, sf_dir):
     return _cells(spark, m.toarray() @ m.inverse())
 
 
-@query(f"WITH {_M} SELECT round(sum(v * v), 4) AS trace, CAST(64 AS BIGINT) AS n FROM m")
+@query(f"""WITH {_M},
+g AS (SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j)
+SELECT 64::BIGINT AS n, round((SELECT sum(v) FROM g WHERE i = j), 4) AS trace, round((SELECT sum(v * v) FROM g), 2) AS squares, true AS pairs, true AS unit""")
 def eigen_gram(spark, sf_dir):
-    """The eigenvalues' sum is the trace."""
-    lam, _ = _gram(spark, sf_dir).eigen_sym()
-    return spark.createDataFrame([(float(lam.sum()), len(lam))], "trace double, n long").select(F.round("trace", 4).alias("trace"), "n")
+    """Sums of the eigenvalues and of their squares, whether every pair solves its equation, and whether the vectors are orthonormal."""
+    m = _gram(spark, sf_dir)
+    lam, v = m.eigen_sym()
+    a, n = m.toarray(), len(lam)
+    pairs = bool((abs(a @ v - v * lam) < 1e-6 * max(1.0, float(abs(lam).max()))).all())
+    unit = bool((abs(v.T @ v - _eye(n)) < 1e-9).all())
+    rows = [(n, float(lam.sum()), float((lam * lam).sum()), pairs, unit)]
+    return spark.createDataFrame(rows, "n long, trace double, squares double, pairs boolean, unit boolean").select("n", F.round("trace", 4).alias("trace"), F.round("squares", 2).alias("squares"), "pairs", "unit")
+
+
+def _eye(n: int):
+    import numpy as np
+
+    return np.eye(n)
 
 
 # -- further operators -----------------------------------------------------------------------------------
@@ -414,7 +461,13 @@ def tour_christofides(spark, sf_dir):
     return grouped.solve_graph_tour(g, algorithm="christofides", closure=True).select(F.array_join("ids", ">").alias("tour"), "cost", "optimal")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ARCS}, near(id, d, h) AS (
+  SELECT '00', 0.0::DOUBLE, 0 UNION SELECT id, min(d), h FROM (SELECT arcs.dst AS id, near.d + arcs.weight AS d, near.h + 1 AS h FROM near JOIN arcs ON near.id = arcs.src WHERE near.h < 24) GROUP BY id, h),
+best AS (SELECT id, min(d) AS dist FROM near GROUP BY id),
+par AS (SELECT y.id, x.id AS prev FROM best x JOIN arcs ON x.id = arcs.src JOIN best y ON arcs.dst = y.id AND x.dist + arcs.weight = y.dist
+  WHERE y.id <> '00' QUALIFY row_number() OVER (PARTITION BY y.id ORDER BY x.dist, x.id) = 1),
+walk(now, path) AS (SELECT '03', '03' UNION ALL SELECT par.prev, par.prev || '>' || walk.path FROM walk JOIN par ON walk.now = par.id)
+SELECT path, (SELECT dist FROM best WHERE id = '03') AS dist FROM walk WHERE now = '00'""")
 def shortest_path_trade(spark, sf_dir):
     path, d = traverse.shortest_path(t.trade_graph(spark, sf_dir), "00", "03")
     return spark.createDataFrame([(">".join(path), d)], "path string, dist double")
@@ -423,10 +476,7 @@ def shortest_path_trade(spark, sf_dir):
 @query()
 def dtw_paths(spark, sf_dir):
     """Warping paths of neighbouring users' series, as their lengths and costs."""
-    s = t.series(spark, sf_dir)
-    w = Window.orderBy("user_id")  # one narrow row per user
-    p = s.select("user_id").withColumn("other", F.lead("user_id").over(w)).where("other is not null")
-    j = p.join(s, "user_id").join(s.select(F.col("user_id").alias("other"), F.col("a").alias("b")), "other")
+    j = user_pairs(spark, sf_dir)
     r = alignment.align(j.select(F.col("user_id").cast("string").alias("pair_id"), "a", "b"), path=True)
     return r.select("pair_id", "distance", F.size("path").alias("steps"))
 
@@ -444,13 +494,14 @@ def generate_regular(spark, sf_dir):
     return gen.build(spark, gen.random_regular(40, 4)).degrees().select("id", "undirected")
 
 
-@query("SELECT * FROM (VALUES ('tetrahedron', 4::BIGINT, 6::BIGINT), ('cube', 8, 12), ('octahedron', 6, 12), ('dodecahedron', 20, 30), ('icosahedron', 12, 30)) v(solid, vertices, edges)")
+@query("SELECT * FROM (VALUES ('tetrahedron', 4::BIGINT, 6::BIGINT, 3::BIGINT), ('cube', 8, 12, 3), ('octahedron', 6, 12, 4), ('dodecahedron', 20, 30, 3), ('icosahedron', 12, 30, 5)) v(solid, vertices, edges, degree)")
 def generate_platonic(spark, sf_dir):
     out = []
     for name in gen.PLATONIC:
         g = gen.build(spark, gen.platonic_solid(name))
-        out.append((name, g.vertex_count(), g.edge_count()))
-    return spark.createDataFrame(out, "solid string, vertices long, edges long")
+        degrees = {r["undirected"] for r in g.degrees().select("undirected").distinct().collect()}
+        out.append((name, g.vertex_count(), g.edge_count(), degrees.pop() if len(degrees) == 1 else -1))
+    return spark.createDataFrame(out, "solid string, vertices long, edges long, degree long")
 
 
 @query()
@@ -462,6 +513,9 @@ def generate_word(spark, sf_dir):
 def signal_ohlc(spark, sf_dir):
     """Every day's prices lie in their range, and days follow on each other."""
     o = gen.ohlc_series(spark, 250)
-    w = Window.orderBy("day")
-    ok = (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & F.coalesce(F.abs(F.col("open") - F.lag("close").over(w)) < 1e-6, F.lit(True))
+    o = o.join(o.select((F.col("day") + 1).alias("day"), F.col("close").alias("before")), "day", "left")
+    ok = (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & F.coalesce(F.abs(F.col("open") - F.col("before")) < 1e-6, F.lit(True))
     return o.select("day", ok.alias("ok"))
+
+
+from . import catalog_graphs, catalog_matrices  # noqa: E402, F401  (they register themselves)

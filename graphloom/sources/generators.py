@@ -322,6 +322,16 @@ def _dots(a: int, b: int) -> list[int]:
     return [(r + (s - r) * i // n) * 3 + c + (d - c) * i // n for i in range(n + 1)] if n else [a]
 
 
+def glyph_steps(c: str) -> list[tuple[int, int]]:
+    """The lattice steps of a character's strokes."""
+    out = []
+    for stroke in GLYPHS[c.upper()].split():
+        ends = [int(k) for k in stroke.split("-")]
+        ks = [ends[0]] + [k for a, b in itertools.pairwise(ends) for k in _dots(a, b)[1:]]
+        out += itertools.pairwise(ks)
+    return out
+
+
 def letters(text: str, scope: str = "") -> Shape:
     """The text's characters as skeletons; vertex IDs are scope::position::node.  Blanks only take a position."""
     for c in text:
@@ -332,11 +342,9 @@ def letters(text: str, scope: str = "") -> Shape:
         name = lambda p, k: "::".join([*([scope] if scope else []), str(p), str(k)])
         pairs, nodes = [], set()
         for p, c in enumerate(text):
-            for stroke in GLYPHS[c.upper()].split() if c != " " else ():
-                ends = [int(k) for k in stroke.split("-")]
-                ks = [ends[0]] + [k for a, b in itertools.pairwise(ends) for k in _dots(a, b)[1:]]
-                nodes |= {name(p, k) for k in ks}
-                pairs += [(name(p, a), name(p, b)) for a, b in itertools.pairwise(ks)]
+            for a, b in glyph_steps(c) if c != " " else ():
+                nodes |= {name(p, a), name(p, b)}
+                pairs.append((name(p, a), name(p, b)))
         w = o.weight(o.seed) if o.weighted else F.lit(0.0)
         e = spark.createDataFrame(sorted(set(pairs)), "src string, dst string").withColumn("weight", w)
         return spark.createDataFrame([(v,) for v in sorted(nodes)], "id string"), e
