@@ -70,14 +70,16 @@ class PropertyGraph:
             (F.col("weight").cast("double") if "weight" in have else F.lit(0.0)).alias("weight"),
             (F.coalesce("directed", F.lit(c.directed)) if "directed" in have else F.lit(c.directed)).alias("directed"),
         )
+        next_id = 1
         if "edge_id" not in have:
             e = numbered(e.drop("edge_id"), "src", "dst", "weight", start=1)
             e = e.select(F.concat(F.lit("e"), F.col("ord").cast("string")).alias("edge_id"), "src", "dst", "weight", "directed")
+            next_id = e.count() + 1
         ends = e.select(F.explode(F.array("src", "dst")).alias("id"))
         if vertices is not None:
             ends = ends.unionByName(vertices.select(F.col("id").cast("string").alias("id")))
         v = ends.distinct().withColumn("metadata", F.create_map().cast("map<string,string>"))
-        g = cls(v, e, c)
+        g = cls(v, e, c, next_id)
         if check:
             g.validate()
         return g
@@ -134,7 +136,9 @@ class PropertyGraph:
         )
         new = cut(new)
         named = new.where("edge_id is not null")
-        top = named.where(is_auto_id("edge_id")).agg(F.max(F.substring("edge_id", 2, 100).cast("decimal(20,0)"))).first()[0]
+        # A graph made of named edges has not counted the IDs that look automatic.
+        own = named if self.next_id > 1 else named.select("edge_id").unionByName(self.edges.select("edge_id"))
+        top = own.where(is_auto_id("edge_id")).agg(F.max(F.substring("edge_id", 2, 100).cast("decimal(20,0)"))).first()[0]
         first = max(self.next_id, int(top or 0) + 1)
         auto = numbered(new.where("edge_id is null").drop("edge_id"), "seq", start=first)
         n = auto.count()
