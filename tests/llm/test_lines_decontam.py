@@ -44,17 +44,29 @@ def test_lines(spark, tmp_path):
     documents(spark, rows, tmp_path)
     got = lines.op10_line_dedup(spark, str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got), key=repr) == brute_lines(rows)
-    # The bitmap says the same without the text.
+    for r in got:
+        runs = [int(x) for x in r.keep_bitmap.split(",")]
+        assert len(runs) % 2 and sum(runs[::2]) == r.n_lines - r.n_dropped
+    # The bitmap says the same without the text, and so does the way for more frequent lines than a table holds.
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda **kw: sorted(map(repr, lines.line_dedup(docs, with_text=True, **kw).collect()))
+    assert key() == key(near=0)
+    one = lines.line_dedup(docs, min_docs=1000).collect()
+    assert all(list(r.keep_bitmap) == [r.n_lines] for r in one)
     for r in lines.line_dedup(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect():
         assert sum(r.keep_bitmap) == r.n_lines and sum(r.keep_bitmap[1::2]) == r.n_dropped
     cut = lines.cut_lines(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"))
     want = {(d, h) for d, _, _, h in brute_lines(rows)}
+    far = lines.cut_lines(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"), near=0)
+    assert sorted(map(repr, far.collect())) == sorted(map(repr, cut.collect()))
     assert {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in cut.collect()} == want
 
 
 def test_lines_empty_and_clashing(spark):
     d = spark.createDataFrame([], "doc_id long, text string, body string, pos int, H1 long")
-    assert lines.line_dedup(d).collect() == []
+    assert lines.line_dedup(d).collect() == [] and lines.line_dedup(d, near=0).collect() == []
+    d = spark.createDataFrame([(1, "a\nb", "x", 1, 2)], "doc_id long, text string, body string, p int, H1 long")
+    assert [tuple(r)[:3] for r in lines.line_dedup(d).collect()] == [(1, 2, 0)]
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
