@@ -18,12 +18,15 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (one machine, tests) a temporary folder is
-    made once per session and removed at exit.
+    Where the setting is absent a temporary folder is made once per session
+    and removed at exit, on a local master (one machine, tests) only.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors see")
     at = getattr(spark, "_graphloom_scratch", None)
     if at is None:
         at = tempfile.mkdtemp(prefix="graphloom-")

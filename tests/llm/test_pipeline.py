@@ -1,11 +1,18 @@
-"""The pipeline's rows against its stages written plainly."""
+"""The pipeline's rows against its stages written plainly, none of them through the library's own operators."""
+
+import math
+
+import pytest
 
 import corpus_pipeline
 from graphloom.llm import mixing, quality
 from tests.llm.test_lines_decontam import LOWER, brute_hits
+from tests.llm.test_models import brute_mix
+from tests.llm.test_quality_brute import features_of, votes_of
 from tests.llm.test_simhash import brute_groups
 
 SF = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_stages_are_named():
@@ -17,8 +24,13 @@ def test_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = {r.doc_id: r.text for r in docs.collect()}
-    keep = {r.doc_id for r in quality.classify(docs).collect() if r.keep}
-    rows = {d: t for d, t in rows.items() if d in keep}
+    model = quality.train(docs)
+
+    def good(text):
+        _, b, rough = votes_of(text)
+        return 1 / (1 + math.exp(-(float(features_of(b, rough) @ model["weights"]) + model["bias"]))) >= 0.5
+
+    rows = {d: t for d, t in rows.items() if good(t)}
     holders = {}
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     for d, t in rows.items():
@@ -31,7 +43,31 @@ def test_run(spark):
     clean = {r[0] for r in brute_hits(list(rows.items()), items) if not r[5]}
     rows = {d: t for d, t in rows.items() if d in clean}
     meta = {r.doc_id: r for r in docs.collect()}
-    left = spark.createDataFrame([(d, t, meta[d].lang, meta[d].source) for d, t in rows.items()], "doc_id long, text string, lang string, source string")
-    want = {r.doc_id for r in mixing.mix(left).collect() if r.sampled}
+    left = [(d, t, meta[d].source, meta[d].lang) for d, t in rows.items()]
+    topics = mixing.fit_topics(spark.createDataFrame(left, "doc_id long, text string, source string, lang string").select("doc_id", "text"))
+    want = {d for d, _, _, _, sampled in brute_mix(left, topics) if sampled}
     got = {r.doc_id: r.text for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {d: rows[d] for d in want}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, topic string, rid int, first int, FPS string"
+ODD = [
+    (1, None, None, None, None, "t", 1, 2, "x"),
+    (2, "", "en", "web", 0, "t", 1, 2, "x"),
+    (3, "A sentence of ordinary words, here. And another one follows it.", "en", "web", 60, "t", 1, 2, "x"),
+    (3, "A sentence of ordinary words, here. And another one follows it.", "en", "web", 60, "t", 1, 2, "x"),
+    (None, "Some other words that nobody else has written down before.", "en", None, 58, "t", 1, 2, "x"),
+    (4, "long words " * 40_000, "fr", "web", 440_000, "t", 1, 2, "x"),
+]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows_and_other_columns(spark, name, stage):
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    out = stage(spark, docs, SF)
+    assert out.columns[:5] == COLUMNS and (name == "mixing" or out.columns == COLUMNS)
+    have = {(r[0], r[1]) for r in ODD}
+    assert {(r.doc_id, r.text) for r in out.collect()} <= have
+    if name not in ("quality_classifier", "mixing"):
+        assert {(r.doc_id, r.text) for r in out.collect()} >= {(r[0], r[1]) for r in ODD if r[0] in (None, 4) or r[1] and r[0] == 3}
+    assert stage(spark, docs.limit(0), SF).collect() == []
