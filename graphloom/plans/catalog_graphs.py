@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -305,6 +306,48 @@ def tours_heuristic_line(spark, sf_dir):
     return _union(out)
 
 
+@query("""WITH c AS (SELECT c_nationkey AS k, count(*) AS x FROM customer GROUP BY 1), p AS (SELECT n_nationkey AS k, CAST(coalesce(x, 0) AS DOUBLE) AS x FROM nation LEFT JOIN c ON n_nationkey = k),
+s AS (SELECT x, row_number() OVER (ORDER BY x) AS r FROM p WHERE k < 24)
+SELECT 'spanning_tree' AS op, (SELECT max(x) - min(x) FROM p) AS value UNION ALL SELECT 'matching', (SELECT sum(CASE WHEN r % 2 = 0 THEN x ELSE -x END) FROM s)
+UNION ALL SELECT 'walk', 26.0 UNION ALL SELECT 'shortcut', 26.0 UNION ALL SELECT 'rotated', 7.0 UNION ALL SELECT 'canonical', 1.0 UNION ALL SELECT 'closed', 3.0 UNION ALL SELECT 'refused', 4.0
+UNION ALL SELECT 'tour', (SELECT sum(abs(a.x - b.x)) FROM p a JOIN p b ON b.k = (a.k + 1) % 25) UNION ALL SELECT 'auto', (SELECT 2 * (max(x) - min(x)) FROM p WHERE k < 12)""")
+def tour_parts_line(spark, sf_dir):
+    """The parts of tour algorithms on all nations, on a line at their numbers of customers."""
+    n = t.table(spark, sf_dir, "nation").select("n_nationkey")
+    c = t.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).cast("double").alias("x"))
+    x = np.array([r["x"] for r in n.join(c, "n_nationkey", "left").na.fill(0.0).orderBy("n_nationkey").collect()])
+    d = np.abs(x[:, None] - x[None, :])
+    around = [*range(25), 0]
+    adj = [[(v - 1) % 25, (v + 1) % 25] for v in range(25)]
+    walk = tours.euler_circuit(adj, 0)
+    refused = [lambda: tours.validate_permutation([0, 0], 2), lambda: tours.validate_tour([0, 1, 0], 3, 0), lambda: tours.euler_circuit([[1], [0]], 0), lambda: tours.rotated([0, 1], 5)]
+    tours.validate_permutation(around[:-1], 25)
+    tours.validate_tour(around, 25, 0)
+    rows = [
+        ("spanning_tree", tours.prim(d)[0]), ("matching", sum(d[p] for p in tours.perfect_matching(list(range(24)), d))), ("walk", float(len(walk))), ("shortcut", float(len(tours.shortcut(walk, 25, 0)))),
+        ("rotated", float(tours.rotated(around, 7)[0])), ("canonical", float(tours.canonical([0, 3, 2, 1, 0])[1])), ("closed", float(tours.closed([3, 0, 2, 1], 3)[0])), ("refused", float(sum(map(_raises, refused)))),
+        ("tour", tours.tour_cost(d, around)), ("auto", tours.solve(d[:12, :12], "auto")["cost"]),
+    ]
+    return spark.createDataFrame([(k, float(v)) for k, v in rows], "op string, value double")
+
+
+@query("""SELECT * FROM (VALUES ('capped', true), ('uncapped', true), ('epsilon', true), ('rebuilt', true), ('cancelled', true), ('unknown', true)) v(op, ok)""")
+def max_flow_options(spark, sf_dir):
+    """What bounds on augmentations, tolerance, rebuilding of levels and cancellation do on the trade graph."""
+    g = cut(t.trade_graph(spark, sf_dir).edges.where("src <> '05' and dst <> '00'"))
+    g = PropertyGraph.from_edges(g, check=False, directed=True, weighted=True)
+    a, b = "00", g.edges.agg(F.max("dst")).first()[0]
+    run = lambda **kw: grouped.max_flow(*grouped.frames(g), source=a, sink=b, **kw).select("value", "capped", "augmentations", F.size("source_side").alias("side")).first()
+    full, one = run(), run(algorithm="ford_fulkerson", max_augmentations=1)
+    none, often, stopped = run(eps=1e15), run(level_rebuild=1), run(cancelled=lambda: True)
+    rows = [
+        ("capped", one["capped"] and one["augmentations"] == 1 and one["side"] == 0 and one["value"] <= full["value"]), ("uncapped", not full["capped"] and full["side"] > 0),
+        ("epsilon", none["value"] == 0.0), ("rebuilt", often["value"] == full["value"]), ("cancelled", stopped["capped"] and stopped["value"] == 0.0),
+        ("unknown", _raises(lambda: grouped.max_flow(*grouped.frames(g), source=a, sink=b, algorithm="other"))),
+    ]
+    return spark.createDataFrame([(k, bool(v)) for k, v in rows], "op string, ok boolean")
+
+
 # -- alignment --------------------------------------------------------------------------
 @query(f"""WITH RECURSIVE {_DTW.replace('BAND', '1000000').replace('PENALTY', '0.0')}
 SELECT CAST(user_id AS VARCHAR) AS pair_id, one[n + 1] AS distance, true AS path_ok FROM d WHERE s = n + m""")
@@ -335,6 +378,21 @@ def dtw_feature_rows(spark, sf_dir):
     return a.join(b, "pair_id").select("pair_id", "by_features", "by_costs", "last_cell", "finite")
 
 
+@query(f"""WITH RECURSIVE {_DTW.replace('BAND', '5').replace('PENALTY', '2.0')}, f AS (SELECT one[n + 1] AS v FROM d WHERE s = n + m AND user_id = (SELECT min(user_id) FROM pr))
+SELECT m.mode, f.v AS distance, m.mode = 'full' AS has_path, true AS refused FROM f, (VALUES ('none'), ('two_rows'), ('full')) m(mode)""")
+def dtw_modes(spark, sf_dir):
+    """The first pair of users inside a narrow band, by each memory mode; a path needs the full table, options are checked."""
+    r = user_pairs(spark, sf_dir).orderBy("user_id").select("a", "b").first()
+    pad = abs(len(r["a"]) - len(r["b"]))  # a band that no path fits gives +inf and no path
+    refused = _raises(lambda: alignment.dtw([1.0], [2.0], alignment.Options(path=True))) and _raises(lambda: alignment.Options(penalty=-1.0).validate())
+    out = []
+    for mode in alignment.MEMORY:
+        path = mode == "full" and pad <= 5
+        v, steps = alignment.dtw(r["a"], r["b"], alignment.Options(window=5, penalty=2.0, path=path, memory=mode))
+        out.append((mode, v, steps is not None or (mode == "full" and pad > 5), refused))
+    return spark.createDataFrame(out, "mode string, distance double, has_path boolean, refused boolean")
+
+
 # -- lattices ---------------------------------------------------------------------------
 @query(f"""WITH RECURSIVE {_CELLS}, g AS (SELECT x, y, value >= 1 AS land FROM c), r(x, y, cost) AS (
   SELECT x, y, 0 FROM g WHERE y = 0 UNION SELECT g.x, g.y, r.cost + CASE WHEN g.land THEN 0 ELSE 1 END FROM r JOIN g ON abs(g.x - r.x) + abs(g.y - r.y) = 1 WHERE r.cost + CASE WHEN g.land THEN 0 ELSE 1 END <= 20)
@@ -360,6 +418,17 @@ def grid_lookups(spark, sf_dir):
     ])
 
 
+@query(f"""WITH RECURSIVE {_CELLS}, land AS (SELECT *, y * 50 + x AS k FROM c WHERE value >= 2),
+e AS (SELECT a.k AS a, b.k AS b FROM land a JOIN land b ON a.value = b.value AND greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1),
+r(root, k) AS (SELECT k, k FROM land UNION SELECT r.root, e.b FROM r JOIN e ON r.k = e.a WHERE e.b > -1),
+l AS (SELECT k, min(root) AS component FROM r GROUP BY k)
+SELECT land.value, CAST(l.component AS BIGINT) AS component, count(*) AS cells FROM land JOIN l ON land.k = l.k GROUP BY 1, 2""")
+def islands_diagonal_parts(spark, sf_dir):
+    """Islands over eight neighbours, of cells of at least 2."""
+    g = Grid(cut(t.part_lattice(spark, sf_dir)), 50, 20, threshold=2, connect=8)
+    return g.connected_components().select("value", "component", F.size("cells").cast("long").alias("cells"))
+
+
 # -- generators -------------------------------------------------------------------------
 _HEX = {
     "default": (6, "0-2 2-4 0-4 1-3 3-5 1-5"), "medium": (8, "0-2 0-6 2-4 4-6"),
@@ -434,3 +503,26 @@ def weight_schemes(spark, sf_dir):
         r = g.edges.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"), F.avg("weight").alias("mean")).first()
         out.append((name, lo <= r["lo"] and r["hi"] <= hi, abs(r["mean"] - mean) <= 0.05 * mean))
     return spark.createDataFrame(out, "scheme string, in_range boolean, mean_ok boolean")
+
+
+@query("""SELECT 'pulse' AS signal, i, CASE WHEN (i * 0.25) % 1 < 0.25 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END + i * 0.5 AS value FROM (SELECT unnest(generate_series(0, 199)) AS i)
+UNION ALL SELECT 'chirp', i, round(2 * sin(2 * pi() * sum(0.1::DOUBLE + (0.2::DOUBLE - 0.1::DOUBLE) / 199 * i) OVER (ORDER BY i)) - i * 0.25, 6) + 0.0::DOUBLE FROM (SELECT unnest(generate_series(0, 199)) AS i)""")
+def signal_options(spark, sf_dir):
+    """Amplitude, frequency, duty and trend at work."""
+    p = gen.pulse(spark, 200, frequency=0.25, duty=0.25, amplitude=3.0, trend=0.5).select(F.lit("pulse").alias("signal"), "i", "value")
+    c = gen.audio_chirp(spark, 200, f0=0.1, f1=0.2, amplitude=2.0, trend=-0.25).select(F.lit("chirp").alias("signal"), "i", (F.round("value", 6) + 0.0).alias("value"))
+    return p.unionByName(c)
+
+
+@query("SELECT 'U' || a AS src, 'V' || b AS dst, 2.0::DOUBLE AS weight FROM (SELECT unnest(generate_series(0, 3)) AS a), (SELECT unnest(generate_series(0, 6)) AS b)")
+def generate_prefixed(spark, sf_dir):
+    """A bipartite graph whose sides have prefixes of their own and edges a constant weight."""
+    g = gen.build(spark, gen.complete_bipartite(4, 7), caps={"weighted": True}, left="U", right="V", weight=naming.constant_weight(2.0))
+    return g.edges.select("src", "dst", "weight")
+
+
+@query("SELECT * FROM (VALUES ('excel', 'A', 'B'), ('excel', 'B', 'C'), ('hex', '0', '1'), ('hex', '1', '2'), ('alphanumeric', '0', '1'), ('alphanumeric', '1', '2'), ('symbol', 'A', 'B'), ('symbol', 'B', 'C'), ('number', 'v0', 'v1'), ('number', 'v1', 'v2'), ('plain', '0', '1'), ('plain', '1', '2')) v(scheme, src, dst)")
+def generate_named(spark, sf_dir):
+    """A path under every ID scheme."""
+    schemes = {"excel": naming.excel_ids, "hex": naming.hex_ids, "alphanumeric": naming.alphanumeric_ids, "symbol": naming.symbol_ids, "number": naming.prefixed_ids("v"), "plain": naming.decimal_ids}
+    return _union([gen.build(spark, gen.path(3), ids=f).edges.select(F.lit(k).alias("scheme"), "src", "dst") for k, f in schemes.items()])

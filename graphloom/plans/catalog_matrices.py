@@ -207,3 +207,12 @@ def apsp_rounds_trade(spark, sf_dir):
     """All distances by rounds of relaxation, which no task has to hold at once."""
     a = mx.adjacency(t.trade_graph(spark, sf_dir), mx.MatrixOptions(directed=True))
     return mx.floyd_warshall(mx.init_distances(a), most=0).cells
+
+
+@query(f"""WITH RECURSIVE {_ARCS}, r(s, id, d, h) AS (
+  SELECT id, id, 0.0::DOUBLE, 0 FROM ids
+  UNION SELECT s, id, min(d), h FROM (SELECT r.s, arcs.dst AS id, r.d + arcs.weight AS d, r.h + 1 AS h FROM r JOIN arcs ON r.id = arcs.src WHERE r.h < 24) GROUP BY s, id, h)
+SELECT CAST(s AS INTEGER) AS i, CAST(id AS INTEGER) AS j, min(d) AS v FROM r GROUP BY s, id""")
+def apsp_option_trade(spark, sf_dir):
+    """The same as an option of the adjacency."""
+    return mx.adjacency(t.trade_graph(spark, sf_dir), mx.MatrixOptions(directed=True, metric_closure=True)).matrix.cells
