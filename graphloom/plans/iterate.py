@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..operators.errors import LimitError
 
 
+#: So many rows are numbered in one task: a traversal's levels are most often small.
+FEW = 50_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors see; unset, a temporary one, on a local master only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -66,12 +70,15 @@ class Scratch:
 
 
 def numbered(df: DataFrame, *keys: str, name: str = "ord", start: int = 0) -> DataFrame:
-    """df with 0, 1, 2, ... in the order of keys, without sorting in one task.
+    """df with 0, 1, 2, ... in the order of keys, without sorting more than FEW rows in one task.
 
     Rows are sorted by range; the few partition sizes give each partition its
     first number.
     """
     at = F.monotonically_increasing_id()
+    df = cut(df)
+    if df.count() <= FEW:
+        return df.coalesce(1).sortWithinPartitions(*keys).withColumn(name, at + F.lit(start))
     s = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     s = cut(s.withColumn("_pid", F.spark_partition_id()).withColumn("_at", at))
     first = {}

@@ -42,8 +42,9 @@ Shape = Callable[[SparkSession, Options], tuple[DataFrame, DataFrame]]
 
 
 def uniform(*parts) -> Column:
-    """A number in [0, 1) that depends on its parts only."""
-    return F.pmod(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number in [0, 1) that depends on its parts only: 52 bits of the digest of their text, which any engine can make."""
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def _framed(o: Options, vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -390,7 +391,7 @@ def audio_chirp(spark: SparkSession, n: int, f0: float = 0.02, f1: float = 0.25,
 def ohlc_series(spark: SparkSession, days: int, seed: int = 1, start: float = 100.0, mu: float = 0.0005, vol: float = 0.02, steps: int = 8) -> DataFrame:
     """(day, open, high, low, close): geometric Brownian motion, ``steps`` prices a day.
 
-    Normal numbers come from hashes (Box-Muller), so values do not depend on
+    Normal numbers come from digests (Box-Muller), so values do not depend on
     partitions; running sums go day by day and then within days.
     """
     if days < 0:

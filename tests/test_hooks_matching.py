@@ -11,6 +11,7 @@ from graphloom.operators import alignment, errors, grouped, traverse
 from graphloom.operators import matrix as mx
 from graphloom.operators.graph import PropertyGraph
 from graphloom.operators.kernels import blossoms, flows, tours, walks
+from graphloom.plans import iterate
 from graphloom.plans.iterate import Scratch, running_sum
 from graphloom.sources import generators as gen
 from graphloom.streaming.snapshots import SnapshotSink
@@ -177,6 +178,14 @@ def test_hexagrams_and_extension(spark):
     assert a == b != gen.Options().seed
 
 
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_numbering_by_one_task_or_by_ranges(spark, monkeypatch, few):
+    monkeypatch.setattr(iterate, "FEW", few)
+    d = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), F.lit("x").alias("v")).repartition(5)
+    assert {r.k: r.ord for r in iterate.numbered(d, "k", start=3).collect()} == {k: k + 3 for k in range(500)}
+    assert iterate.numbered(d.limit(0), "k").collect() == []
+
+
 def test_running_sums_and_scratch(spark):
     d = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("x"))
     got = {r.k: r.before for r in running_sum(d, "k", "x").collect()}
