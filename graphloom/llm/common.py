@@ -84,6 +84,18 @@ def digest(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit(7), c)
 
 
+def without(rows: DataFrame, key: Column, gone: DataFrame, near: int = 500_000) -> DataFrame:
+    """rows whose key is not among those of gone (one column); null keys stay.
+
+    Up to ``near`` distinct keys travel to the rows, which then stay where they
+    are; more are met by a shuffle.
+    """
+    name = gone.columns[0]
+    gone = cut(gone.select(F.col(name).alias("_gone")).where("_gone is not null").distinct())
+    few = gone.count() <= near
+    return rows.join(F.broadcast(gone) if few else gone, key == F.col("_gone"), "left_anti")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

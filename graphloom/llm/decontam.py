@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, pick, table
+from .common import ascii_lower, cut, pick, table, without
 
 WINDOW = 10
 K = 5
@@ -184,13 +184,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     return g.select("rid", "doc_id", "n_words", F.col("runs").alias("spans"), F.expr(reach).alias("n_hit"), "items")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, near: int = 500_000) -> DataFrame:
     """The rows of docs without a hit, with doc_id, text, lang, source and n_chars only; rows of equal doc_id are told apart by their text."""
     d = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     sum_of = F.md5(F.coalesce("text", F.lit("")))
     hit = decontaminate(d.select(sum_of.alias("doc_id"), "text"), items, window, k)
-    gone = hit.where("n_hit > 0").select(F.col("doc_id").alias("gone")).distinct()
-    return d.join(gone, sum_of == F.col("gone"), "left_anti")
+    return without(d, sum_of, hit.where("n_hit > 0").select("doc_id"), near)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, pick, table
+from .common import components, cut, pick, table, without
 
 SHINGLE = 4
 BITS = 4
@@ -242,15 +242,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, near: int = 500_000) -> DataFrame:
     """The rows of docs that name their group, with doc_id, text, lang, source and n_chars only.
 
     Of rows with equal doc_id all or none stay; rows of null doc_id stay.
     """
     d = pick(docs, "doc_id", "text", "lang", "source", "n_chars")
     g = simhash_groups(d, shingle, bits)
-    others = g.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return d.join(others, F.col("doc_id") == F.col("gone"), "left_anti")
+    return without(d, F.col("doc_id"), g.where("doc_id <> component_id").select("doc_id"), near)
 
 
 QUERIES = {"op1_simhash": op1_simhash}

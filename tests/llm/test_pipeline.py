@@ -71,3 +71,15 @@ def test_stages_take_odd_rows_and_other_columns(spark, name, stage):
     if name not in ("quality_classifier", "mixing"):
         assert {(r.doc_id, r.text) for r in out.collect()} >= {(r[0], r[1]) for r in ODD if r[0] in (None, 4) or r[1] and r[0] == 3}
     assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_both_ways_of_leaving_out_agree(spark):
+    from graphloom.llm import decontam, simhash
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    ids = lambda f: sorted(r.doc_id for r in f.collect())
+    kept = ids(simhash.keep_one(docs))
+    assert kept == ids(simhash.keep_one(docs, near=0)) and len(kept) < docs.count()
+    clean = ids(decontam.keep_clean(docs, items))
+    assert clean == ids(decontam.keep_clean(docs, items, near=0)) and len(clean) < docs.count()
