@@ -134,23 +134,28 @@ def topological_levels(arcs: DataFrame, vertices: DataFrame, cancelled: Callable
     """
     own = Scratch()
     left = own.cut(arcs.select("src", "dst").where("src <> dst").distinct())
-    nodes = own.cut(vertices.select("id"))
+    nodes = vertices.select("id")
+    states: list[DataFrame] = []
     levels: list[DataFrame] = []
-    while nodes.limit(1).count():
+    while True:
         if cancelled and cancelled():
             raise TraversalStopped("cancelled", levels)
-        free = cut(nodes.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(len(levels))))
-        if not free.limit(1).count():
+        busy = left.select(F.col("dst").alias("id")).distinct().withColumn("busy", F.lit(True))
+        state = cut(nodes.join(busy, "id", "left"))
+        states.append(state)
+        n = state.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("busy").isNull()).alias("free")).first()
+        if n["all"] and not n["free"]:
             raise CycleError("cycle")
-        levels.append(free)
-        nodes = own.cut(nodes.join(free, "id", "left_anti"))
-        left = own.cut(left.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
-        own.keep(nodes, left)
+        free = state.where("busy is null").select("id")
+        levels.append(free.withColumn("level", F.lit(len(levels))))
+        if n["all"] == n["free"]:
+            break
+        nodes = state.where("busy").select("id")
+        left = own.cut(left.join(free.withColumnRenamed("id", "src"), "src", "left_anti"))
+        own.keep(left)
     own.keep()
-    if not levels:
-        return vertices.select("id").limit(0).withColumn("level", F.lit(0))
     out = cut(reduce(DataFrame.unionByName, levels))
-    release(*levels)
+    release(*states)
     return out
 
 

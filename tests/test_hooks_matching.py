@@ -134,6 +134,20 @@ def test_many_small_graphs_cross_batches(spark):
     assert {r.o for r in got.collect()} == {"v0,v1,v2,v3,v4"} and got.count() == n
 
 
+def test_levels_are_longest_ways(spark):
+    rng = random.Random(7)
+    pairs = [(f"v{a}", f"v{b}") for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.25]
+    level = {f"v{i}": 0 for i in range(14)}
+    for a, b in sorted(pairs, key=lambda p: int(p[0][1:])):
+        level[b] = max(level[b], level[a] + 1)
+    arcs = spark.createDataFrame([*pairs, ("v1", "v1")], "src string, dst string")
+    nodes = spark.createDataFrame([(v,) for v in level], "id string")
+    assert {r.id: r.level for r in grouped.topological_levels(arcs, nodes).collect()} == level
+    assert grouped.topological_levels(arcs.limit(0), nodes.limit(0)).collect() == []
+    with pytest.raises(errors.CycleError):
+        grouped.topological_levels(spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"), spark.createDataFrame([("a",), ("b",)], "id string"))
+
+
 def test_flow_observer_and_residual(spark):
     g = PropertyGraph.from_edges(spark.createDataFrame([("s", "a", 3.0), ("a", "t", 2.0), ("s", "t", 1.0)], "src string, dst string, weight double"), directed=True, weighted=True)
     r = grouped.max_flow(*grouped.frames(g), source="s", sink="t", algorithm="edmonds_karp", observe=True)
