@@ -5,8 +5,8 @@ and toxic.  The ordinary one is trained by zstandard on windows of ordinary
 documents.  The toxic one has the same ordinary content, with pieces at its
 head that toxic documents hold far more often than ordinary ones.  This
 departs from two plainly trained dictionaries: on the rows kept for
-calibration those told the classes apart with an area under the curve of at
-most 0.66 at every window and dictionary size tried, because the trainer
+calibration those told the classes apart with an area under the curve of less
+than 0.67 at every window and dictionary size tried, because the trainer
 spends its room on what both kinds of text share.  Every text is cut into
 windows of WINDOW words; each window is compressed with either dictionary, and
 the difference of the two lengths is how toxic it looks.  PAIRS pairs with
