@@ -32,7 +32,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import cut, parts, pick, release, table
 
 #: Fixed values.
 ASSIGN = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -74,6 +74,8 @@ def ordinary_identifiers(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     """Words of about ``most`` documents, picked by hash of id and text, alone and joined as identifiers are."""
     rate = min(1.0, most / max(1, docs.count()))
     d = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(math.ceil(rate * 1_000_000)))
+    # A bounded number of texts, dealt out, since a few files would keep a few cores busy.
+    d = d.select("text").repartition(parts(docs.sparkSession))
     words = d.select(F.expr("filter(split(coalesce(text, ''), '[^A-Za-z0-9]+'), w -> length(w) > 1 and not w rlike '[0-9]')").alias("w"))
     joined = "concat_ws({}, x, get(w, i + 1), get(w, i + 2))"
     one = f"case i % 4 when 0 then {joined.format(chr(39) + '_' + chr(39))} when 1 then {joined.format(chr(39) + '/' + chr(39))} when 2 then {joined.format(chr(39) + '-' + chr(39))} else concat(x, initcap(coalesce(get(w, i + 1), '')), initcap(coalesce(get(w, i + 2), ''))) end"
@@ -85,7 +87,7 @@ def train(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS)
     """{'table': log-likelihood ratios by pair, 'threshold': mean ratio from which a run is random}."""
     w = len(ALPHABET) + 1
     ratio = [0.0] * (w * w)
-    pos, neg = random_strings(spark), ordinary_identifiers(docs, sample_docs)
+    pos, neg = random_strings(spark), cut(ordinary_identifiers(docs, sample_docs))
     for sign, sample in ((1, pos), (-1, neg)):
         n = [0.5] * (w * w)
         for pair, count in _pairs(sample).collect():
@@ -98,10 +100,12 @@ def train(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS)
 
     def scores(df: DataFrame, share: float):
         m = df.where(f"length(tok) >= {MIN_RUN}").select(F.expr(score_sql("tok", model)).alias("s"))
-        r = m.agg(F.avg("s"), F.percentile_approx("s", share, 10_000)).first()
+        # To two places the scores are few, and the same whatever the order they come in.
+        r = m.agg(F.avg("s"), F.percentile(F.round("s", 2), share)).first()
         return r[0] or 0.0, r[1] or 0.0
 
     (mp, low), (mn, high) = scores(pos, MISSES), scores(neg, 1 - FALSE_ALARMS)
+    release(neg)
     model["threshold"] = min((low + high) / 2, low) if mp > mn else math.inf
     return model
 
