@@ -11,11 +11,13 @@ number made from its id and text by hashing lies below its probability.
 Cells are counted first.  Up to LOCAL_CELLS are raked on the driver and
 broadcast; beyond that the same sweeps run as aggregations and joins.
 
-Where the table has no topic, topics are fitted: about TOPIC_DOCS documents,
-picked by a hash of id and text, are vectors of their words' logarithmic
-counts in WIDTH hashed places, weighed by how few of them hold a place, and
-k-means on their angles makes TOPICS centres.  Every document then has the
-topic of the nearest centre.  Copies are one vector with a weight.
+Where the table has no topic, topics are fitted on all documents: they are
+vectors of their words' logarithmic counts in WIDTH hashed places, weighed by
+how few of them hold a place, and k-means on their angles makes TOPICS centres
+in at most ROUNDS rounds.  Every document then has the topic of the nearest
+centre.  The vectors are written once, only with the places that hold words,
+and each round reads them again; what rounds add up are whole numbers, so that
+the centres do not depend on how rows are dealt out.
 
 Defined results: null sources and languages are a category of their own; a
 null or empty text has no tokens and topic 0, and its cell takes part with
@@ -38,12 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pick, table
+from .common import cut, pick, release, table
 
 TOPICS = 8
-TOPIC_DOCS = 2000
+ROUNDS = 20
 WIDTH = 1024
-SALT = 31
+#: What a vector holds: places, ascending, with their logarithmic counts.
+ENTRY = np.dtype([("at", "<u2"), ("x", "<f4")])
+#: A vector's parts are added up in steps of 1 / UNIT.
+UNIT = 1 << 26
 TEMPER = 0.7
 SHARE = 0.5
 SWEEPS = 200
@@ -62,40 +67,130 @@ def vector(words: list[bytes]) -> np.ndarray:
     return np.bincount(at, np.log1p(np.fromiter(seen.values(), float, len(seen))), WIDTH).astype(np.float32)
 
 
-def centres(x: np.ndarray, n: np.ndarray, topics: int = TOPICS, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(weights of places, unit centres) of vectors x that stand for n documents each."""
-    idf = np.log((n.sum() + 1) / ((x > 0).T @ n + 1)) + 0.01
-    u = x * idf
-    u = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
-    # To begin with: the mean's farthest vector, then each time the one farthest from all before.
-    c = [u[(u @ (n @ u)).argmin()]]
-    while len(c) < min(topics, len(u)):
-        c.append(u[(u @ np.array(c).T).max(axis=1).argmin()])
-    c = np.array(c)
+def entries(words: list[bytes]) -> bytes:
+    """The same without the places that hold nothing."""
+    x = vector(words)
+    at = x.nonzero()[0]
+    e = np.empty(len(at), ENTRY)
+    e["at"], e["x"] = at, x[at]
+    return e.tobytes()
+
+
+def entries_udf():
+    """Entries and tokens of texts."""
+
+    @F.arrow_udf("x binary, tokens long")
+    def of(texts: pa.Array) -> pa.Array:
+        words = [_words(t) for t in texts.cast(pa.binary()).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([entries(w) for w in words], pa.binary()), pa.array([len(w) for w in words], pa.int64())], ["x", "tokens"])
+
+    return of
+
+
+def _pieces(col: pa.Array, rows: int = 500):
+    """(entries, where each row of them starts) of vectors with words, a few rows at a time."""
+    if not len(col):
+        return
+    col = col.cast(pa.binary())
+    ends = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset)
+    for i in range(0, len(col), rows):
+        part = ends[i : i + rows + 1]
+        yield np.frombuffer(col.buffers()[2], ENTRY, (part[-1] - part[0]) // ENTRY.itemsize, part[0]), (part[:-1] - part[0]) // ENTRY.itemsize
+
+
+def _weighed(e: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Entries' values in vectors of length 1."""
+    w = e["x"] * idf[e["at"]]
+    return w / np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), np.diff(starts, append=len(e)))
+
+
+def _products(e: np.ndarray, starts: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of rows and centres; a row's are the same whichever rows stand beside it."""
+    return np.array([np.add.reduceat(k.take(e["at"]) * w, starts) for k in c]).T
+
+
+def _summed(vectors: DataFrame, of, slots: int) -> np.ndarray:
+    """Whole numbers, added up by slot; of makes each piece's from its entries and starts."""
+
+    def run(batches):
+        all_of = np.zeros(slots, np.int64)
+        for b in batches:
+            for e, starts in _pieces(b.column("x")):
+                all_of += of(e, starts).astype(np.int64)
+        at = all_of.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(all_of[at])], ["slot", "n"])
+
+    got = vectors.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(slots, np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _farthest(vectors: DataFrame, idf: np.ndarray, c: np.ndarray) -> tuple[float, np.ndarray]:
+    """The vector whose greatest product with c is least, and that product; of equal ones the first in byte order."""
+
+    def run(batches):
+        best = None
+        for b in batches:
+            i = 0
+            for e, starts in _pieces(b.column("x")):
+                near = _products(e, starts, _weighed(e, starts, idf), c).max(axis=1)
+                low = float(near.min())
+                if best is None or low <= best[0]:
+                    x = min(b.column("x")[i + int(k)].as_py() for k in (near == low).nonzero()[0])
+                    best = min(best or (low, x), (low, x))
+                i += len(starts)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], ["s", "x"])
+
+    s, x = vectors.mapInArrow(run, "s double, x binary").agg(F.min(F.struct("s", "x")).alias("m")).first()[0]
+    e = np.frombuffer(bytes(x), ENTRY)
+    u = np.zeros(len(idf))
+    u[e["at"]] = _weighed(e, np.zeros(1, np.int64), idf)
+    return s, u
+
+
+def _fit(vectors: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
+    """(weights of places, unit centres) of all vectors (x); None without words."""
+    vectors = vectors.select("x").where("octet_length(x) > 0")
+    held = _summed(vectors, lambda e, starts: np.append(np.bincount(e["at"], minlength=WIDTH), len(starts)), WIDTH + 1)
+    if not held[-1]:
+        return None
+    idf = np.log((held[-1] + 1) / (held[:-1] + 1)) + 0.01
+
+    def sums(c: np.ndarray) -> np.ndarray:
+        """The sum of the vectors that each centre is nearest to."""
+
+        def of(e, starts):
+            w = _weighed(e, starts, idf)
+            near = _products(e, starts, w, c).argmax(axis=1)
+            return np.bincount(np.repeat(near, np.diff(starts, append=len(e))) * WIDTH + e["at"], np.rint(w * UNIT), len(c) * WIDTH)
+
+        return _summed(vectors, of, len(c) * WIDTH).reshape(len(c), WIDTH) / UNIT
+
+    # To begin with: the mean's farthest vector, then each time the one farthest from all before, while directions differ.
+    c = np.array([_farthest(vectors, idf, sums(np.zeros((1, WIDTH))))[1]])
+    while len(c) < topics:
+        s, u = _farthest(vectors, idf, c)
+        if s > 1 - 1e-9:
+            break
+        c = np.array([*c, u])
     for _ in range(rounds):
-        near = (u @ c.T).argmax(axis=1)
-        new = np.array([n[near == j] @ u[near == j] if (near == j).any() else c[j] for j in range(len(c))])
-        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
+        new = sums(c)
+        long = np.linalg.norm(new, axis=1, keepdims=True)
+        new = np.where(long > 0, new / np.maximum(long, 1e-12), c)
         if np.abs(new - c).max() < 1e-9:
             break
         c = new
     return idf, c
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, most: int = TOPIC_DOCS) -> tuple[np.ndarray, np.ndarray] | None:
-    """The topics of docs (doc_id, text), as ``centres`` gives them; None without words."""
-    limit = int(min(1.0, most / max(1, docs.count())) * 2**32)
-
-    def of(batches):
-        for b in batches:
-            seen = Counter(vector(w).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist() if (w := _words(t)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["x", "n"])
-
-    picked = docs.where(F.pmod(F.xxhash64(F.lit(SALT), "doc_id", "text"), F.lit(1 << 32)) < limit).select("text")
-    got = sorted((bytes(r.x), r.n) for r in picked.mapInArrow(of, "x binary, n long").groupBy("x").agg(F.sum("n").alias("n")).collect())
-    if not got:
-        return None
-    return centres(np.frombuffer(b"".join(x for x, _ in got), np.float32).reshape(-1, WIDTH), np.array([n for _, n in got], float), topics)
+def fit_topics(docs: DataFrame, topics: int = TOPICS) -> tuple[np.ndarray, np.ndarray] | None:
+    """The topics of all docs (text): weights of places and unit centres; None without words."""
+    vectors = cut(docs.select(entries_udf()("text")["x"].alias("x")))
+    model = _fit(vectors, topics)
+    release(vectors)
+    return model
 
 
 def topic_of(text: str | None, model: tuple[np.ndarray, np.ndarray] | None) -> tuple[int, int]:
@@ -104,7 +199,8 @@ def topic_of(text: str | None, model: tuple[np.ndarray, np.ndarray] | None) -> t
     if not words or model is None:
         return 0, len(words)
     idf, c = model
-    return int((c @ (vector(words) * idf)).argmax()), len(words)
+    e, first = np.frombuffer(entries(words), ENTRY), np.zeros(1, np.int64)
+    return int(_products(e, first, _weighed(e, first, idf), c).argmax()), len(words)
 
 
 def topics_udf(model: tuple[np.ndarray, np.ndarray] | None):
@@ -116,6 +212,22 @@ def topics_udf(model: tuple[np.ndarray, np.ndarray] | None):
     return of
 
 
+def nearest_udf(model: tuple[np.ndarray, np.ndarray] | None):
+    """The topics of vectors, as ``topic_of`` gives them for their texts."""
+
+    @F.arrow_udf("int")
+    def of(x: pa.Array) -> pa.Array:
+        out = np.zeros(len(x), np.int32)
+        some = np.array([len(v) > 0 for v in x.to_pylist()], bool)
+        if model is not None and some.any():
+            idf, c = model
+            near = [_products(e, starts, _weighed(e, starts, idf), c).argmax(axis=1) for e, starts in _pieces(x.filter(pa.array(some)))]
+            out[some] = np.concatenate(near)
+        return pa.array(out)
+
+    return of
+
+
 def rake(cells: list[tuple], targets: list[dict], sweeps: int = SWEEPS, tol: float = 1e-10) -> np.ndarray:
     """Weights of cells (one key per dimension, then tokens) whose marginal sums meet the targets.
 
@@ -246,11 +358,15 @@ def mix(docs: DataFrame, share: float = SHARE, temper: float = TEMPER, targets:
     ``temper``.  topic names a column to take instead of the derived topic.
     """
     d = pick(docs, "doc_id", "text", "source", "lang", *([topic] if topic else []))
-    t = topics_udf(None if topic else fit_topics(d))("text").alias("t")
-    own = F.col(topic) if topic else F.col("t.topic")
-    narrow = d.select("doc_id", "source", "lang", F.xxhash64("text").alias("th"), *([topic] if topic else []), t)
-    narrow = narrow.select("doc_id", "source", "lang", "th", own.alias("topic"), F.col("t.tokens").alias("tokens"))
-    return _mixed(cut(narrow), temper, share, targets, seed, local_cells)
+    t = topics_udf(None)("text") if topic else entries_udf()("text")
+    made = d.select("doc_id", "source", "lang", F.xxhash64("text").alias("th"), *([topic] if topic else []), t.alias("t"))
+    made = made.select("doc_id", "source", "lang", "th", *([F.col(topic).alias("topic")] if topic else ["t.x"]), "t.tokens")
+    narrow = cut(made)
+    if not topic:
+        vectors, model = narrow, _fit(narrow)
+        narrow = cut(vectors.select("doc_id", "source", "lang", "th", nearest_udf(model)("x").alias("topic"), "tokens"))
+        release(vectors)
+    return _mixed(narrow, temper, share, targets, seed, local_cells)
 
 
 def sample(docs: DataFrame, share: float = SHARE, temper: float = TEMPER, targets: dict | None = None, seed: int = 17) -> DataFrame:

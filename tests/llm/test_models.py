@@ -157,6 +157,49 @@ def test_query_mixing_against_brute_force(spark, tmp_path):
     assert len(set(tops.values())) == 3
 
 
+def brute_topics(texts, topics=mixing.TOPICS):
+    """(weights of places, centres) of all texts, as dense rows."""
+    words = sorted((mixing._words(t) for t in texts if t and t.split()), key=mixing.entries)
+    x = np.array([mixing.vector(w) for w in words], float)
+    idf = np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1)) + 0.01
+    u = x * idf
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = [u[(u @ u.sum(axis=0)).argmin()]]
+    while len(c) < topics:
+        c.append(u[(u @ np.array(c).T).max(axis=1).argmin()])
+    c = np.array(c)
+    for _ in range(20):
+        near = (u @ c.T).argmax(axis=1)
+        c = np.array([u[near == j].sum(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
+        c /= np.linalg.norm(c, axis=1, keepdims=True)
+    return idf, c
+
+
+def test_topics_are_fitted_on_all_documents(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["%s%d" % ("abcdefgh"[i % 8], k) for k in range(40)], k=rng.randrange(5, 60))), "web", "en") for i in range(5000)]
+    rows += [(5000, "one of its own kind", "web", "en"), (5001, "", "web", "en"), (5002, None, "web", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    model, want = mixing.fit_topics(d), brute_topics([r[1] for r in rows])
+    assert np.allclose(model[0], want[0]) and model[1].shape == want[1].shape and np.abs(model[1] - want[1]).max() < 1e-5
+    # However the rows are dealt out, the very same numbers come.
+    again = mixing.fit_topics(d.repartition(7, "text"))
+    assert (model[0] == again[0]).all() and (model[1] == again[1]).all()
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op2_mixing(spark, str(tmp_path)).collect()
+    same_mix([(r.doc_id, r.topic, r.tokens, r.probability, r.sampled) for r in got], brute_mix(rows, want))
+
+
+def test_topics_of_few_directions_and_copies(spark):
+    rows = [(1, "a"), (2, "a a"), (3, "b"), (4, "b"), (5, None), (6, " ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = mixing.fit_topics(d)
+    assert len(model[1]) == 2
+    at = {i: mixing.topic_of(t, model) for i, t in rows}
+    assert at[1][0] == at[2][0] != at[3][0] == at[4][0] and at[5] == at[6] == (0, 0)
+    assert mixing.fit_topics(d.where("doc_id > 4")) is None
+
+
 def test_mix_odd_rows(spark):
     d = spark.createDataFrame([(1, None, None, "en"), (2, "", "s", None), (2, "a b", "s", "en"), (None, "a b", "s", "en")], "doc_id long, text string, source string, lang string")
     got = mixing.mix(d).collect()
