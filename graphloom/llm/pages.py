@@ -20,7 +20,9 @@ others in place.
 
 The builder keeps its own stack and the renderer walks without recursion, so
 depth is bounded by memory only.  Very long words do not widen a table's
-columns beyond MAX_CELL.
+columns beyond MAX_CELL.  All tables are laid out by one rule, whatever their
+size, so where cells span many rows of a wide table the text, mostly blanks,
+grows with its rows times its columns.
 
 Defined results: null or empty html gives the empty text; what is not markup
 is text; unclosed elements end with the document, an unfinished tag ends it;
@@ -34,7 +36,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from html import unescape
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +46,8 @@ from pyspark.sql import functions as F
 from .common import pick, table
 
 MAX_CELL = 60
-SPARSE = 16
+#: Texts leave in batches of about so many characters, as a table's may be far longer than its page.
+BATCH = 1 << 24
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -327,40 +332,40 @@ def _rows(tab: Node) -> tuple[list[str], list[list[tuple[list[str], int, int]]]]
 def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Lines of rows whose columns stand below one another; rows without text are left out.
 
-    A cell spans no further than columns of cells go.  In a table so sparse that
-    its rows times columns are more than SPARSE places a cell, spans count as 1.
+    A cell spans no further than columns of cells go.
     """
-    most, cells = max(map(len, rows), default=0), sum(map(len, rows))
-    spread = len(rows) * most <= SPARSE * cells + 4096
-    placed, taken = [], {}  # taken: column to the row at which it is free again
+    most = max(map(len, rows), default=0)
+    placed, taken = [], np.zeros(most, np.int64)  # taken: of a column, the row at which it is free again
     for y, r in enumerate(rows):
         at, line = 0, []
         for lines, across, down in r:
-            while taken.get(at, 0) > y:
-                at += 1
-            across = max(1, min(across, most - at)) if spread else 1
+            if at < most and taken[at] > y:
+                free = taken[at:] <= y
+                at = at + int(free.argmax()) if free.any() else most
+            across = max(1, min(across, most - at))
             line.append((at, across, lines))
-            if down > 1 and spread and at < most:
-                taken |= dict.fromkeys(range(at, at + across), y + down)
+            if down > 1 and at < most:
+                taken[at : at + across] = y + down
             at += across
         placed.append(line)
-    width: dict[int, int] = {}
+    width = [0] * max((line[-1][0] + line[-1][1] for line in placed if line), default=0)
     for line in placed:
         for at, across, lines in line:
             if across == 1:
-                width[at] = max(width.get(at, 0), min(MAX_CELL, max(map(len, lines), default=0)))
+                width[at] = max(width[at], min(MAX_CELL, max(map(len, lines), default=0)))
+    blank = "".join(" " * w + " | " for w in width)  # a line without text
+    start = list(accumulate((w + 3 for w in width), initial=0))  # where in it each column begins
     out = []
     for line in placed:
         if not any(lines for _, _, lines in line):
             continue
         for i in range(max(len(lines) for _, _, lines in line)):
-            now, to = "", 0
+            now, to = [], 0
             for at, across, lines in line:
-                now += "".join(" " * width.get(c, 0) + " | " for c in range(to, at))
-                room = sum(width.get(c, 0) for c in range(at, at + across)) + 3 * (across - 1)
-                now += (lines[i] if i < len(lines) else "").ljust(room) + " | "
+                now.append(blank[start[to] : start[at]])
+                now.append((lines[i] if i < len(lines) else "").ljust(start[at + across] - start[at] - 3) + " | ")
                 to = at + across
-            out.append(now[:-3].rstrip())
+            out.append("".join(now)[:-3].rstrip())
     return out
 
 
@@ -479,8 +484,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     def of(batches):
         for b in batches:
-            texts = [extract(t) for t in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(texts, pa.string())], ["page_id", "text"])
+            texts, size, first = [], 0, 0
+            for i, t in enumerate(b.column("html").to_pylist(), 1):
+                texts.append(extract(t))
+                size += len(texts[-1])
+                if size > BATCH or i == len(b):
+                    yield pa.RecordBatch.from_arrays([b.column("page_id").slice(first, i - first), pa.array(texts, pa.string())], ["page_id", "text"])
+                    texts, size, first = [], 0, i
 
     p = pick(pages, "page_id", "html").select(F.col("page_id").cast("long").alias("page_id"), "html")
     return p.mapInArrow(of, "page_id long, text string")

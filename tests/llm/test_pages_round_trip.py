@@ -96,6 +96,25 @@ def test_no_page_takes_long(html):
     assert time.time() - began < 10
 
 
+def test_spans_hold_in_tables_of_any_size():
+    # A wide first row, whose first cell spans all rows below and whose last cell is far off.
+    for wide, rows in ((3, 4), (60, 400), (400, 60)):
+        html = f"<table><tr><td rowspan={rows}>a" + "<td>b" * (wide - 1) + "<tr><td>c" * (rows - 1) + "</table>"
+        assert pages.extract(html) == "\n".join([" | ".join(["a"] + ["b"] * (wide - 1))] + ["  | c"] * (rows - 1))
+    # Rows below do not change the lines above.
+    head = "<table><tr>" + "<td rowspan=3>x" * 100 + "<tr><td>y<tr><td colspan=2>z<td>w"
+    few, many = pages.extract(head).split("\n"), pages.extract(head + "<tr><td>v" * 1000).split("\n")
+    assert few == [" | ".join(["x"] * 100 + [" ", " "]).rstrip(" |"), "  | " * 100 + "y", "  | " * 100 + "z | w"]
+    assert many == few + ["v"] * 1000
+
+
+def test_texts_leave_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(pages, "BATCH", 10)
+    rows = [(i % 7, "<p>" + "word" * (i % 5)) for i in range(50)] + [(None, None)]
+    got = pages.extract_text(spark.createDataFrame(rows, "page_id long, html string").coalesce(1)).collect()
+    assert [tuple(r) for r in got] == [(i, pages.extract(t)) for i, t in rows]
+
+
 def test_query(spark, tmp_path):
     rows = [(1, "<p>a</p>", "u", 1), (1, "<p>a</p>", "u", 1), (2, None, "u", 2), (3, "", "u", 3), (None, "t<br>u", None, 4)]
     spark.createDataFrame(rows, "page_id long, html string, url string, text int").write.parquet(f"{tmp_path}/pages.parquet")
