@@ -1,13 +1,14 @@
 """The pipeline's rows against its stages written plainly, none of them through the library's own operators."""
 
 import math
+import random
 
 import pytest
 
 import corpus_pipeline
 from graphloom.llm import mixing, quality
 from tests.llm.test_lines_decontam import LOWER, brute_hits
-from tests.llm.test_models import brute_mix
+from tests.llm.test_models import brute_mix, brute_topics
 from tests.llm.test_quality_brute import features_of, votes_of
 from tests.llm.test_simhash import brute_groups
 
@@ -73,6 +74,15 @@ def test_stages_take_odd_rows_and_other_columns(spark, name, stage):
     assert stage(spark, docs.limit(0), SF).collect() == []
 
 
+def test_mixing_stage_fits_topics_on_all_documents(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(["%s%d" % ("abcdefgh"[i % 8], k) for k in range(40)], k=rng.randrange(5, 60))), "en", "web", 1) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute_mix([(d, t, s, g) for d, t, g, s, _ in rows], brute_topics([r[1] for r in rows]))
+    got = corpus_pipeline.mixing_stage(spark, docs, SF).collect()
+    assert {r.doc_id: (r.topic, r.tokens) for r in got} == {d: (t, n) for d, t, n, _, sampled in want if sampled}
+
+
 def test_both_ways_of_leaving_out_agree(spark):
     from graphloom.llm import decontam, simhash
 
