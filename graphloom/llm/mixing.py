@@ -77,12 +77,16 @@ def entries(words: list[bytes]) -> bytes:
 
 
 def entries_udf():
-    """Entries and tokens of texts."""
+    """Entries and tokens of texts; a batch's words would fill a worker, so they are held for one text at a time."""
 
     @F.arrow_udf("x binary, tokens long")
     def of(texts: pa.Array) -> pa.Array:
-        words = [_words(t) for t in texts.cast(pa.binary()).to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([entries(w) for w in words], pa.binary()), pa.array([len(w) for w in words], pa.int64())], ["x", "tokens"])
+        x, tokens = [], []
+        for t in texts.cast(pa.binary()):
+            words = _words(t.as_py())
+            x.append(entries(words))
+            tokens.append(len(words))
+        return pa.StructArray.from_arrays([pa.array(x, pa.binary()), pa.array(tokens, pa.int64())], ["x", "tokens"])
 
     return of
 

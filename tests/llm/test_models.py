@@ -1,8 +1,10 @@
 """Quality, mixing and toxicity: held-out accuracy, brute force, odd rows."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -190,6 +192,17 @@ def test_topics_are_fitted_on_all_documents(spark, tmp_path):
     same_mix([(r.doc_id, r.topic, r.tokens, r.probability, r.sampled) for r in got], brute_mix(rows, want))
 
 
+def test_words_are_held_for_one_text_at_a_time(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(1000)] + ["", None]
+    batch, of = pa.array(texts), mixing.entries_udf().func
+    tracemalloc.start()
+    got = of(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6
+    assert got.to_pylist() == [{"x": mixing.entries(w), "tokens": len(w)} for w in map(mixing._words, texts)]
+
+
 def test_topics_of_few_directions_and_copies(spark):
     rows = [(1, "a"), (2, "a a"), (3, "b"), (4, "b"), (5, None), (6, " ")]
     d = spark.createDataFrame(rows, "doc_id long, text string")

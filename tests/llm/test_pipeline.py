@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import pytest
 
@@ -83,6 +84,18 @@ def test_mixing_stage_fits_topics_on_all_documents(spark):
     assert {r.doc_id: (r.topic, r.tokens) for r in got} == {d: (t, n) for d, t, n, _, sampled in want if sampled}
 
 
+def test_mixing_stage_weighs_words_by_all_documents(spark, monkeypatch):
+    models = []
+    udf = mixing.topics_udf
+    monkeypatch.setattr(mixing, "topics_udf", lambda model: models.append(model) or udf(model))
+    texts = [f"all {'even' if i % 2 == 0 else 'odd'}" + " rare" * (i % 1000 == 0) for i in range(5000)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mixing_stage(spark, docs, SF).collect()
+    weights = models[0][0]
+    for word, held in {"all": 5000, "even": 2500, "odd": 2500, "rare": 5, "nowhere": 0}.items():
+        assert weights[zlib.crc32(word.encode()) % mixing.WIDTH] == pytest.approx(math.log(5001 / (held + 1)) + 0.01, abs=1e-9)
+
+
 def test_both_ways_of_leaving_out_agree(spark):
     from graphloom.llm import decontam, simhash
 
